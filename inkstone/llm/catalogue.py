@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkstone.llm import tokenize
+from inkstone.llm import sentences, tokenize
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+#: The two tables of texts: name, key, text column.
+TEXT_TABLES = (("rag_nodes", "node_no", "text"), ("citation_sentences", "sentence_id", "sentence"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [sentences.split_sentences(read(spark, sf_dir, t), k, c).select(F.lit(t).alias("tbl"), "rec_id", "sent_no", "end_pos") for t, k, c in TEXT_TABLES]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_documents(read(spark, sf_dir, "documents"))
