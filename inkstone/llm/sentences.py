@@ -114,7 +114,8 @@ def split_sentences(records: DataFrame, key: str, text: str) -> DataFrame:
     The spans are made row by row, before the shuffle, so only numbers are moved.
     """
     spans = sentence_spans(records.select(F.col(key).alias("rec_id"), F.col(text).alias("_x")), "_x").select("rec_id", "spans")
-    once = spans.where(F.size("spans") > 0).groupBy("rec_id").agg(F.first("spans").alias("spans"))
+    # no filter here: it would be pushed through the projections and repeat all their work
+    once = spans.groupBy("rec_id").agg(F.first("spans").alias("spans"))
     return once.select("rec_id", F.posexplode("spans").alias("i", "s")).select("rec_id", (F.col("i") + 1).alias("sent_no"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
