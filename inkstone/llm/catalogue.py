@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import sentences, tokenize
+from inkstone.llm import chunking, sentences, spam, tokenize
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,18 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.oversized_nodes(chunking.split_oversized(read(spark, sf_dir, "rag_nodes")))
+
+
+@query
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece with its text; a record that came twice is cut once."""
+    pieces = chunking.split_oversized(read(spark, sf_dir, "rag_nodes"))
+    return pieces.dropDuplicates(["node_no", "piece_no"])
+
+
 #: The two tables of texts: name, key, text column.
 TEXT_TABLES = (("rag_nodes", "node_no", "text"), ("citation_sentences", "sentence_id", "sentence"))
 
@@ -32,3 +44,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.page_shares(read(spark, sf_dir, "documents")).where("flagged").select("doc_id")
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.page_shares(read(spark, sf_dir, "documents"))
