@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import chunking, sentences, spam, tokenize
+from inkstone.llm import chunking, languages, sentences, spam, tokenize
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.dropDuplicates(["node_no", "piece_no"])
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polished = languages.polished_languages(read(spark, sf_dir, "polish_results"), read(spark, sf_dir, "citation_sentences"), read(spark, sf_dir, "lang_labels"))
+    return languages.language_findings(polished)
+
+
 #: The two tables of texts: name, key, text column.
 TEXT_TABLES = (("rag_nodes", "node_no", "text"), ("citation_sentences", "sentence_id", "sentence"))
 
