@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import chunking, languages, sentences, spam, tokenize
+from inkstone.llm import chunking, languages, names, sentences, spam, tokenize
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,22 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.dropDuplicates(["node_no", "piece_no"])
 
 
+def _name_fields(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str]]:
+    cited = read(spark, sf_dir, "citation_sentences").select(F.explode("citations.authors").alias("authors"))
+    return [(cited, "authors"), (read(spark, sf_dir, "reference_entries"), "authors"), (read(spark, sf_dir, "cite_check_items"), "cited_author")]
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(names.link_variants(_name_fields(spark, sf_dir)))
+
+
+@query
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its group."""
+    return names.link_variants(_name_fields(spark, sf_dir))
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     polished = languages.polished_languages(read(spark, sf_dir, "polish_results"), read(spark, sf_dir, "citation_sentences"), read(spark, sf_dir, "lang_labels"))
