@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import chunking, languages, names, sentences, spam, tokenize
+from inkstone.llm import chunking, languages, names, neardup, sentences, spam, tokenize
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_TABLES = (("rag_nodes", "node_no", "text"), ("citation_sentences", "sentence_id", "sentence"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [read(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(k).alias("id"), F.col(c).alias("text")) for t, k, c in TEXT_TABLES]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_texts(spark, sf_dir))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [sentences.split_sentences(read(spark, sf_dir, t), k, c).select(F.lit(t).alias("tbl"), "rec_id", "sent_no", "end_pos") for t, k, c in TEXT_TABLES]
