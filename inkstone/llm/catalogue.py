@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import chunking, languages, names, neardup, sentences, spam, tokenize
+from inkstone.llm import chunking, languages, linking, names, neardup, sentences, spam, tokenize
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.match_works(read(spark, sf_dir, "cite_check_items"), read(spark, sf_dir, "reference_entries")).select("item_id", "ref_id")
+
+
+@query
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their confidence."""
+    return linking.match_works(read(spark, sf_dir, "cite_check_items"), read(spark, sf_dir, "reference_entries"))
+
+
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_documents(read(spark, sf_dir, "documents"))
