@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import chunking, languages, linking, names, neardup, sentences, spam, tokenize
+from inkstone.llm import chunking, languages, linking, mixing, names, neardup, sentences, spam, tokenize
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the mixture with its tokens and how often it is used."""
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that were reached."""
+    targets = read(spark, sf_dir, "mix_targets")
+    return mixing.reached(mixing.mix(read(spark, sf_dir, "documents"), targets), targets)
+
+
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.page_shares(read(spark, sf_dir, "documents")).where("flagged").select("doc_id")
