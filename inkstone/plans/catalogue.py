@@ -1,14 +1,435 @@
-"""The registered queries of the general operators and their SQL."""
+"""The registered queries of the general operators and their SQL.
+
+Documents of the sources in ``TARGETS`` play the papers to be audited, all others the library.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from inkstone.functions import lexicon
+from inkstone.functions import text as T
+from inkstone.operators import citations, corpus, coverage, structure, style, vector
+from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TARGETS = ("lecture_notes", "errata", "glossaries")
+_TARGETS = "('lecture_notes','errata','glossaries')"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _library(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where(F.coalesce("source", F.lit("")).isin(*TARGETS) == F.lit(False))
+
+
+def _target(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where(F.col("source").isin(*TARGETS))
+
+
+#: SQL building blocks.
+_STOP = "[" + ",".join(_q(w) for w in sorted(set(lexicon.STOP_WORDS))) + "]"
+_ASCII = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))"
+_WORDS = f"list_filter({_ASCII}, lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w))"
+_LIB = f"(SELECT * FROM documents WHERE coalesce(source,'') NOT IN {_TARGETS})"
+_TGT = f"(SELECT * FROM documents WHERE source IN {_TARGETS})"
+_HAN = "len(regexp_extract_all({0}, '[\\x{{4e00}}-\\x{{9fff}}]'))"
+_WS = "trim(regexp_replace(coalesce({0},''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+_DIST = "(SELECT DISTINCT sentence_id, sentence FROM citation_sentences WHERE sentence IS NOT NULL)"
+
+
+def _tok(table: str, key: str = "doc_id") -> str:
+    return f"(SELECT {key}, unnest({_WORDS}) AS token FROM {table} WHERE text IS NOT NULL)"
+
+
+_VOCAB = f"SELECT token, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM {_tok(_LIB)} GROUP BY token"
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return rare_in_exemplars(spark, sf_dir)
+
+
+# --- text ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CASE WHEN zh > 0.7 * (zh + en) THEN 'zh' WHEN zh > 0.3 * (zh + en) THEN 'mixed' ELSE 'en' END AS language FROM (SELECT doc_id, {_HAN.format('text')} AS zh, len(regexp_extract_all(text, '[a-zA-Z]')) AS en FROM documents WHERE text IS NOT NULL)")
+def lang_detect(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+@query(f"SELECT doc_id, len({_WORDS})::BIGINT AS n_words, len({_ASCII})::BIGINT AS n_stream FROM documents WHERE text IS NOT NULL")
+def tokens_per_doc(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("n_words"), F.size(T.ascii_words(F.col("text"))).cast("bigint").alias("n_stream"))
+
+
+@query(f"SELECT doc_id, greatest(1, floor(zh + (length(text) - zh) / 4.0))::BIGINT AS approx FROM (SELECT doc_id, text, {_HAN.format('text')} AS zh FROM documents WHERE text IS NOT NULL)")
+def approx_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.approx_tokens(F.col("text")).alias("approx"))
+
+
+@query(f"SELECT node_no, md5({_WS.format('text')}) AS ws_md5 FROM (SELECT DISTINCT node_no, text FROM rag_nodes)")
+def normalize_ws(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "rag_nodes").select("node_no", "text").distinct().select("node_no", F.md5(T.normalize_ws(F.col("text"))).alias("ws_md5"))
+
+
+@query(f"SELECT node_no, 'rag_' || substring(sha1(trim(coalesce(page,0)::VARCHAR || '|' || substring({_WS.format('text')},1,1200) || '|' || substring(coalesce(pdf,''),1,200), '|')),1,16) AS stable_key FROM (SELECT DISTINCT node_no, page, text, pdf FROM rag_nodes)")
+def stable_text_key(spark: SparkSession, d: str) -> DataFrame:
+    nodes = read(spark, d, "rag_nodes").select("node_no", "page", "text", "pdf").distinct()
+    return nodes.select("node_no", T.stable_key("rag", F.col("page"), F.col("text"), F.col("pdf")).alias("stable_key"))
+
+
+@query("SELECT pdf, substring(sha1(pdf),1,16) AS doc_key, md5(pdf) AS cache_key FROM library_files")
+def doc_id_sha1(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "library_files").select("pdf", F.substring(F.sha1("pdf"), 1, 16).alias("doc_key"), F.md5("pdf").alias("cache_key"))
+
+
+@query("SELECT node_no, count(*) AS paragraphs, max(length(p))::BIGINT AS longest FROM (SELECT node_no, trim(regexp_replace(unnest(string_split_regex(text, '\\n[ \\t]*\\n')), '[\\s\\p{Z}]+', ' ', 'g')) AS p FROM (SELECT DISTINCT node_no, text FROM rag_nodes WHERE text IS NOT NULL)) WHERE p <> '' GROUP BY node_no")
+def split_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    nodes = read(spark, d, "rag_nodes").select("node_no", "text").where("text IS NOT NULL").distinct()
+    parts = nodes.select("node_no", F.explode(F.split("text", "\\n[ \\t]*\\n")).alias("p")).select("node_no", T.normalize_ws(F.col("p")).alias("p")).where("p <> ''")
+    return parts.groupBy("node_no").agg(F.count(F.lit(1)).alias("paragraphs"), F.max(F.length("p")).cast("bigint").alias("longest"))
+
+
+@query(
+    f"SELECT node_no, i::INT AS chunk_no, md5(trim(substring(p, i * 900 + 1, 900))) AS chunk_md5 FROM (SELECT node_no, p, unnest(range(0, CAST(ceil(length(p) / 900.0) AS BIGINT))) AS i FROM (SELECT node_no, {_WS.format('text')} AS p FROM (SELECT DISTINCT node_no, text FROM rag_nodes WHERE text IS NOT NULL))) WHERE length(trim(substring(p, i * 900 + 1, 900))) >= 60"
+)
+def chunker(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed slices of 900 characters, those of at least 60 kept."""
+    nodes = read(spark, d, "rag_nodes").select("node_no", "text").where("text IS NOT NULL").distinct().select("node_no", T.normalize_ws(F.col("text")).alias("p")).where("p <> ''")
+    cut = nodes.select("node_no", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.length("p") / 900.0).cast("int") - 1), lambda i: F.trim(F.substring(F.col("p"), i * 900 + 1, F.lit(900))))).alias("chunk_no", "chunk"))
+    return cut.where(F.length("chunk") >= 60).select("node_no", "chunk_no", F.md5("chunk").alias("chunk_md5"))
+
+
+@query(f"SELECT sentence_id, CASE {' '.join(f'''WHEN length(sentence)-length(replace(sentence,{_q(p[0])},''))<>length(sentence)-length(replace(sentence,{_q(p[1])},'')) THEN {_q(p)}''' for p in ['()', '[]', '{}', '（）', '【】', '《》', '「」', '“”'])} END AS pair FROM {_DIST}")
+def unbalanced_brackets(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("sentence_id", T.unbalanced(F.col("sentence")).alias("pair"))
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "citation_sentences").select("sentence_id", "sentence").where("sentence IS NOT NULL").distinct()
+
+
+@query(
+    "SELECT doc_id, h AS heading, CASE WHEN n <> '' THEN least(6, length(n) - length(replace(n,'.','')) + 1) ELSE 1 END::INT AS level FROM (SELECT doc_id, h, regexp_extract(h, '^\\s*(\\d+(?:\\.\\d+){0,6})\\s', 1) AS n FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS h FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(h, '^\\d+(\\.\\d+)* [\\p{L}]') AND length(h) <= 60)"
+)
+def heading_level(spark: SparkSession, d: str) -> DataFrame:
+    return _headings(spark, d).select("doc_id", "heading", T.heading_level(F.col("heading")).alias("level"))
+
+
+def _headings(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\\r?\\n")).alias("line_no", "line")).select("doc_id", "line_no", F.trim("line").alias("heading"))
+    return lines.where(F.col("heading").rlike("^\\d+(\\.\\d+)* \\p{L}") & (F.length("heading") <= 60))
+
+
+@query(
+    """WITH lines AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, line_no, trim(line) AS heading FROM lines WHERE regexp_matches(trim(line), '^\\d+(\\.\\d+)* [\\p{L}]') AND length(trim(line)) <= 60),
+l AS (SELECT *, least(6, length(regexp_extract(heading, '^(\\d+(?:\\.\\d+){0,6})\\s', 1)) - length(replace(regexp_extract(heading, '^(\\d+(?:\\.\\d+){0,6})\\s', 1), '.', '')) + 1) AS level FROM h)
+SELECT a.doc_id, a.line_no::INT AS line_no, max(b.line_no)::INT AS parent FROM l a LEFT JOIN l b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY a.doc_id, a.line_no"""
+)
+def section_parent(spark: SparkSession, d: str) -> DataFrame:
+    h = _headings(spark, d).withColumn("level", T.heading_level(F.col("heading")))
+    return structure.parents(h, "doc_id", "line_no", "level", "line_no").select("doc_id", "line_no", "parent")
+
+
+# --- library statistics -------------------------------------------------------------------
+
+
+@query(_VOCAB)
+def vocab_doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.vocabulary(_library(spark, d))
+
+
+def _big(table: str) -> str:
+    return f"(SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i+1])) AS bigram FROM (SELECT doc_id, {_ASCII} AS w FROM {table} WHERE text IS NOT NULL))"
+
+
+
+@query(f"SELECT bigram, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM {_big(_LIB)} GROUP BY bigram")
+def bigram_stats(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.phrases(_library(spark, d))
+
+
+@query(f"SELECT bigram, doc_freq, n FROM (SELECT bigram, count(*) AS n FROM {_big(_TGT)} GROUP BY bigram) JOIN (SELECT bigram, count(DISTINCT doc_id) AS doc_freq FROM {_big(_LIB)} GROUP BY bigram) USING (bigram) ORDER BY doc_freq, n DESC, bigram LIMIT 300")
+def phrase_stats_rarest(spark: SparkSession, d: str) -> DataFrame:
+    n = _target(spark, d).select(F.explode(T.bigrams(T.ascii_words(F.col("text")))).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(corpus.phrases(_library(spark, d)).select("bigram", "doc_freq"), "bigram").select("bigram", "doc_freq", "n").orderBy("doc_freq", F.desc("n"), "bigram").limit(300)
+
+
+@query(f"SELECT t.doc_id, count(*) AS bigrams, count(*) FILTER (l.bigram IS NULL) AS unseen FROM {_big(_TGT)} t LEFT JOIN (SELECT DISTINCT bigram FROM {_big(_LIB)}) l USING (bigram) GROUP BY t.doc_id")
+def bigram_unseen_per_doc(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _target(spark, d).select("doc_id", F.explode(T.bigrams(T.ascii_words(F.col("text")))).alias("bigram"))
+    known = corpus.phrases(_library(spark, d)).select("bigram", F.lit(1).alias("known"))
+    return pairs.join(known, "bigram", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("bigrams"), F.count_if(F.col("known").isNull()).alias("unseen"))
+
+
+@query(f"WITH v AS ({_VOCAB}), n AS (SELECT count(*) AS docs FROM {_LIB} WHERE text IS NOT NULL) SELECT CASE WHEN p <= 0 THEN 'unseen' WHEN p < 10 THEN 'rare' WHEN p < 50 THEN 'normal' ELSE 'common' END AS word_class, count(*) AS occurrences FROM (SELECT 100.0 * coalesce(doc_freq, 0) / docs AS p FROM {_tok(_TGT)} t LEFT JOIN v USING (token), n) GROUP BY 1")
+def word_class_histogram(spark: SparkSession, d: str) -> DataFrame:
+    lib = _library(spark, d)
+    docs = lib.where("text IS NOT NULL").count()
+    t = corpus.tokens(_target(spark, d)).join(corpus.vocabulary(lib), "token", "left")
+    share = 100.0 * F.coalesce("doc_freq", F.lit(0)) / F.lit(max(docs, 1))
+    return t.groupBy(corpus.word_class(share).alias("word_class")).agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+@query(f"WITH v AS ({_VOCAB}), n AS (SELECT count(*) AS docs FROM {_LIB} WHERE text IS NOT NULL), t AS (SELECT token, count(*) AS n FROM {_tok(_TGT)} GROUP BY token HAVING count(*) >= 8 ORDER BY n DESC, token LIMIT 400) SELECT token, t.n AS n, coalesce(doc_freq, 0) AS doc_freq FROM t LEFT JOIN v USING (token), n WHERE coalesce(doc_freq, 0) <= 1 OR coalesce(doc_freq, 0) <= 0.02 * docs ORDER BY t.n DESC, token LIMIT 30")
+def rare_in_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    lib = _library(spark, d)
+    return corpus.rare_in_library(_target(spark, d), lib, lib.where("text IS NOT NULL").count()).select("token", "n", "doc_freq")
+
+
+@query(f"SELECT token, count(*) AS n FROM {_tok(_TGT)} GROUP BY token ORDER BY n DESC, token LIMIT 20")
+def top_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.tokens(_target(spark, d)).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(20)
+
+
+_LEN = f"(SELECT CASE WHEN zh > 0 AND en > 0 THEN 'mixed' WHEN zh > 0 THEN 'zh' ELSE 'en' END AS lang, CASE WHEN zh > 0 THEN zh ELSE len({_ASCII.replace('text', 'sentence')}) END AS size FROM (SELECT sentence, {_HAN.format('sentence')} AS zh, len(regexp_extract_all(sentence, '[a-zA-Z]')) AS en FROM {_DIST}))"
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("sentence")
+    zh, en = T.han_count(s), T.latin_count(s)
+    lang = F.when((zh > 0) & (en > 0), "mixed").when(zh > 0, "zh").otherwise("en")
+    return _sentences(spark, d).select("sentence_id", "sentence", lang.alias("lang"), F.when(zh > 0, zh).otherwise(F.size(T.ascii_words(s))).cast("bigint").alias("size"))
+
+
+@query(f"SELECT lang, count(*) AS n, round(avg(size), 6) AS mean, round(coalesce(stddev_samp(size), 0), 6) AS std FROM {_LEN} WHERE size > 0 GROUP BY lang")
+def length_stats(spark: SparkSession, d: str) -> DataFrame:
+    x = _lengths(spark, d).where("size > 0")
+    return x.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("size"), F.lit(0.0)), 6).alias("std"))
+
+
+@query(f"SELECT lang, count(*)::BIGINT AS n, list_sort(list(size))[round_even((count(*) - 1) * 0.5, 0)::INT + 1]::BIGINT AS p50, list_sort(list(size))[round_even((count(*) - 1) * 0.9, 0)::INT + 1]::BIGINT AS p90, list_sort(list(size))[round_even((count(*) - 1) * 0.95, 0)::INT + 1]::BIGINT AS p95 FROM {_LEN} WHERE size > 0 GROUP BY lang")
+def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.length_percentiles(_lengths(spark, d).where("size > 0"), "lang", "size")
+
+
+@query(f"SELECT s.sentence_id, s.lang, s.size, CASE WHEN size > floor(mean * 1.5) THEN 'long_sentence' ELSE 'short_sentence' END AS issue_type FROM (SELECT sentence_id, lang, size FROM (SELECT sentence_id, CASE WHEN zh > 0 AND en > 0 THEN 'mixed' WHEN zh > 0 THEN 'zh' ELSE 'en' END AS lang, CASE WHEN zh > 0 THEN zh ELSE len({_ASCII.replace('text', 'sentence')}) END AS size FROM (SELECT sentence_id, sentence, {_HAN.format('sentence')} AS zh, len(regexp_extract_all(sentence, '[a-zA-Z]')) AS en FROM {_DIST}))) s JOIN (SELECT lang, avg(size) AS mean FROM {_LEN} WHERE size > 0 GROUP BY lang) m USING (lang) WHERE size > floor(mean * 1.5) OR size < greatest(CASE WHEN s.lang = 'en' THEN 5 ELSE 10 END, floor(0.45 * mean))")
+def sentence_length_issues(spark: SparkSession, d: str) -> DataFrame:
+    x = _lengths(spark, d)
+    base = x.where("size > 0").groupBy("lang").agg(F.avg("size").alias("mean"))
+    floor_ = F.greatest(F.when(F.col("lang") == "en", 5).otherwise(10), F.floor(0.45 * F.col("mean")))
+    j = x.join(base, "lang").where(style.too_long(F.col("size"), F.col("mean")) | (F.col("size") < floor_))
+    return j.select("sentence_id", "lang", "size", F.when(style.too_long(F.col("size"), F.col("mean")), "long_sentence").otherwise("short_sentence").alias("issue_type"))
+
+
+@query(f"WITH f AS (SELECT token, min(doc_id) AS first_doc, count(*) AS n FROM {_tok(_LIB)} GROUP BY token) SELECT * FROM f WHERE n = 1")
+def once_only_words(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.tokens(_library(spark, d)).groupBy("token").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n = 1")
+
+
+@query("SELECT lib_name, lib_kind, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, max(page_count)::BIGINT AS most_pages FROM library_files GROUP BY 1, 2")
+def library_info(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "library_files").groupBy("lib_name", "lib_kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.max("page_count").cast("bigint").alias("most_pages"))
+
+
+@query("SELECT pdf, CASE WHEN lib_kind IN ('exemplar','references') THEN lib_kind WHEN starts_with(lower(lib_name),'ref') OR ends_with(lower(lib_name),'refs') OR starts_with(lower(lib_name),'citecheck') THEN 'references' ELSE 'exemplar' END AS kind FROM library_files")
+def library_kind(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("lib_name")
+    guess = F.when(low.startswith("ref") | low.endswith("refs") | low.startswith("citecheck"), "references").otherwise("exemplar")
+    return read(spark, d, "library_files").select("pdf", F.when(F.col("lib_kind").isin("exemplar", "references"), F.col("lib_kind")).otherwise(guess).alias("kind"))
+
+
+# --- selection and windows ----------------------------------------------------------------
+
+
+@query(f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL AND {_WS.format('text')} <> '' GROUP BY md5(lower({_WS.format('text')}))")
+def first_occurrence_dedup(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.normalize_ws(F.col("text")).alias("t")).where("t <> ''")
+    return x.groupBy(F.md5(F.lower("t")).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+
+
+@query("SELECT pdf, page, node_no FROM (SELECT pdf, page, node_no, row_number() OVER (PARTITION BY pdf, page ORDER BY length(text) DESC, node_no) AS r FROM (SELECT DISTINCT pdf, page, node_no, text FROM rag_nodes WHERE page IS NOT NULL AND text IS NOT NULL)) WHERE r <= 3")
+def page_cap_topn(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "rag_nodes").where("page IS NOT NULL AND text IS NOT NULL").select("pdf", "page", "node_no", "text").distinct()
+    return structure.page_capped(n, ["pdf", "page"], [F.desc(F.length("text")), F.col("node_no")], 3).select("pdf", "page", "node_no")
+
+
+@query("WITH s AS (SELECT pdf, sentence_id, row_number() OVER (PARTITION BY pdf ORDER BY sentence_id) - 1 AS pos, count(*) OVER (PARTITION BY pdf) AS n FROM (SELECT DISTINCT pdf, sentence_id FROM citation_sentences)), i AS (SELECT pdf, n, unnest(range(0, 50)) AS i FROM (SELECT DISTINCT pdf, n FROM s WHERE n > 50)) SELECT DISTINCT s.pdf, s.sentence_id, s.pos::INT AS pos FROM s LEFT JOIN i ON s.pdf = i.pdf AND round_even(i.i * i.n / 50.0, 0) = s.pos WHERE s.n <= 50 OR i.i IS NOT NULL")
+def even_sampling(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "citation_sentences").select("pdf", "sentence_id").distinct()
+    return structure.even_sample(s, F.col("sentence_id"), 50, "pdf").select("pdf", "sentence_id", "pos")
+
+
+@query(f"WITH o AS (SELECT pdf, sentence_id, list_aggregate(w[1:3], 'string_agg', ' ') AS opener FROM (SELECT pdf, sentence_id, {_ASCII.replace('text', 'sentence')} AS w FROM (SELECT DISTINCT pdf, sentence_id, sentence FROM citation_sentences WHERE sentence IS NOT NULL)) WHERE len(w) >= 6) SELECT pdf, opener, count(*) AS n FROM o GROUP BY pdf, opener HAVING count(*) >= 3")
+def repeated_openers(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "citation_sentences").where("sentence IS NOT NULL").select("pdf", "sentence_id", "sentence").distinct().select("pdf", T.ascii_words(F.col("sentence")).alias("w")).where(F.size("w") >= 6)
+    return s.groupBy("pdf", F.array_join(F.slice("w", 1, 3), " ").alias("opener")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
+@query(
+    r"""WITH p AS (SELECT pdf, page, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM (SELECT DISTINCT node_no, pdf, page, text FROM rag_nodes WHERE page IS NOT NULL AND text IS NOT NULL)),
+e AS (SELECT DISTINCT pdf, page, unnest(list_concat(l[1:2], l[-2:])) AS line FROM p WHERE len(l) > 0),
+k AS (SELECT DISTINCT pdf, page, lower(trim(regexp_replace(line, '\d+', '', 'g'))) AS line_key FROM e WHERE length(line) BETWEEN 5 AND 160),
+n AS (SELECT pdf, count(DISTINCT page) AS n_pages FROM p WHERE len(l) > 0 GROUP BY pdf)
+SELECT pdf, line_key, count(*) AS pages FROM k JOIN n USING (pdf) WHERE length(line_key) >= 6 GROUP BY pdf, line_key, n_pages HAVING n_pages >= 3 AND count(*) >= greatest(2, floor(n_pages * 0.6))"""
+)
+def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "rag_nodes").where("page IS NOT NULL AND text IS NOT NULL").select("node_no", "pdf", "page", "text").distinct()
+    return structure.repeated_lines(pages, "pdf", "page", "text").select("pdf", "line_key", "pages")
+
+
+# --- style --------------------------------------------------------------------------------
+
+
+def _lex_sql(terms: list[str], kind: str, lower: bool) -> str:
+    vals = ",".join(_q(t) for t in terms)
+    cond = "contains(lower(sentence), lower(term))" if lower else "contains(sentence, term)"
+    return f"SELECT sentence_id, {_q(kind)} AS issue_type, term FROM {_DIST}, (SELECT unnest([{vals}]) AS term) WHERE {cond}"
+
+
+@query(_lex_sql(lexicon.TRANSITIONS_ZH, "ai_transition", False) + " UNION ALL " + _lex_sql(lexicon.TRANSITIONS_EN, "ai_transition", True))
+def style_transitions(spark: SparkSession, d: str) -> DataFrame:
+    s = _sentences(spark, d)
+    out = style.contained(s, "sentence", lexicon.TRANSITIONS_ZH, "ai_transition").unionByName(style.contained(s, "sentence", lexicon.TRANSITIONS_EN, "ai_transition", True))
+    return out.select("sentence_id", "issue_type", "term")
+
+
+@query(_lex_sql(lexicon.AI_WORDS_ZH, "ai_word", False))
+def style_ai_words_zh(spark: SparkSession, d: str) -> DataFrame:
+    return style.contained(_sentences(spark, d), "sentence", lexicon.AI_WORDS_ZH, "ai_word").select("sentence_id", "issue_type", "term")
+
+
+@query("SELECT * FROM (SELECT sentence_id, CASE " + " ".join(f"WHEN contains(sentence, {_q(m)}) THEN {_q(m)}" for m in lexicon.PASSIVE_MARKERS_ZH) + " " + " ".join(f"WHEN regexp_matches(sentence, {_q(p)}) THEN {_q(p)}" for p in lexicon.PASSIVE_PATTERNS_ZH) + f" END AS marker FROM {_DIST}) WHERE marker IS NOT NULL")
+def passive_zh(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("sentence_id", style.passive_zh(F.col("sentence")).alias("marker")).where("marker IS NOT NULL")
+
+
+@query("SELECT sentence_id, span FROM (SELECT sentence_id, unnest([" + ",".join(f"regexp_extract(sentence, {_q(p)})" for p in lexicon.TEMPLATES_ZH) + f"]) AS span FROM {_DIST}) WHERE span <> ''")
+def template_zh(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("sentence_id", F.explode(style.templates_zh(F.col("sentence"))).alias("span"))
+
+
+@query(f"WITH v AS ({_VOCAB}), n AS (SELECT count(*) AS docs FROM {_LIB} WHERE text IS NOT NULL), w AS (SELECT doc_id, avg((coalesce(doc_freq,0)=0)::INT) AS unseen, avg((coalesce(doc_freq,0)>0 AND 100.0*coalesce(doc_freq,0)/docs<10)::INT) AS rare FROM {_tok(_TGT)} LEFT JOIN v USING (token), n GROUP BY doc_id), b AS (SELECT t.doc_id, avg((l.bigram IS NULL)::INT) AS ph FROM {_big(_TGT)} t LEFT JOIN (SELECT DISTINCT bigram FROM {_big(_LIB)}) l USING (bigram) GROUP BY t.doc_id), s AS (SELECT doc_id, round_even(100*(0.35*least(1.0,1.25*unseen+0.75*rare)+0.3*least(1.0,1.6*coalesce(ph,0))),0)::INT AS score FROM w LEFT JOIN b USING (doc_id)) SELECT doc_id, score, CASE WHEN score>=70 THEN 'high' WHEN score>=35 THEN 'medium' ELSE 'low' END AS level FROM s")
+def weirdness_score(spark: SparkSession, d: str) -> DataFrame:
+    lib = _library(spark, d)
+    docs = max(lib.where("text IS NOT NULL").count(), 1)
+    t = corpus.tokens(_target(spark, d)).join(corpus.vocabulary(lib), "token", "left").withColumn("df", F.coalesce("doc_freq", F.lit(0)))
+    w = t.groupBy("doc_id").agg(F.avg((F.col("df") == 0).cast("int")).alias("unseen"), F.avg(((F.col("df") > 0) & (100.0 * F.col("df") / docs < 10)).cast("int")).alias("rare"))
+    b = bigram_unseen_per_doc(spark, d).select("doc_id", (F.col("unseen") / F.col("bigrams")).alias("ph"))
+    j = w.join(b, "doc_id", "left")
+    score = style.weirdness(F.col("unseen"), F.col("rare"), F.coalesce("ph", F.lit(0.0)), F.lit(0.0), F.lit(0.0))
+    return j.select("doc_id", score.alias("score")).select("doc_id", "score", style.level(F.col("score")).alias("level"))
+
+
+# --- vectors ------------------------------------------------------------------------------
+
+_DOT = "round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
+_TOP = f"SELECT q.vec_id AS query_id, r.vec_id AS vec_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, r.vec_id) AS rank FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id"
+
+
+@query(f"SELECT query_id, vec_id, round(score, 4) AS score, rank::INT AS rank FROM ({_TOP}) WHERE rank <= 5")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    return vector.top_k(e, e.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"SELECT query_id, greatest(0.0, round(max(score), 4)) AS best, greatest(0.0, max(score)) < 0.68 AS outlier, greatest(0.0, max(score)) < 0.35 AS low_alignment, (least(1.0, greatest(0.0, max(score))) * 100)::INT AS pct FROM (SELECT query_id, score FROM ({_TOP}) WHERE rank = 1) GROUP BY query_id".replace("* 100)::INT", "* 100 - 0.5)::INT"))
+def alignment(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    best = F.greatest(F.lit(0.0), F.col("score"))
+    return vector.top_k(e, e.where("vec_id % 50 = 0"), 1).select("query_id", F.round(best, 4).alias("best"), (best < 0.68).alias("outlier"), (best < 0.35).alias("low_alignment"), F.bround(F.least(F.lit(1.0), best) * 100 - 0.5).cast("int").alias("pct"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / greatest(n, 1e-12)) ** 2)), 6) AS norm2, round(embedding[1]::DOUBLE / greatest(n, 1e-12), 6) AS first FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 2))) AS n FROM embeddings)")
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "embeddings").select("vec_id", vector.normalized(F.col("embedding")).alias("v"))
+    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round(F.col("v")[0], 6).alias("first"))
+
+
+# --- citations ----------------------------------------------------------------------------
+
+
+@query("SELECT ref_id, CASE WHEN quoted <> '' THEN substring(quoted,1,200) WHEN has AND length(clause) >= 12 THEN substring(clause,1,200) WHEN has THEN substring(after_year,1,150) ELSE substring(t,1,120) END AS title FROM (SELECT *, trim(regexp_extract(after_year, '^([^.]+)', 1)) AS clause FROM (SELECT ref_id, t, regexp_extract(t, '[\"“]([^\"”]{20,})[\"”]', 1) AS quoted, regexp_matches(t, '[0-9]{4}') AS has, regexp_extract(t, '[0-9]{4}\\)?[.,]?[ ]*(.*)$', 1) AS after_year FROM (SELECT ref_id, " + _WS.format("reference") + " AS t FROM (SELECT DISTINCT ref_id, reference FROM reference_entries))))")
+def reference_title(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "reference_entries").select("ref_id", "reference").distinct().select("ref_id", T.reference_title(F.col("reference")).alias("title"))
+
+
+@query("SELECT ref_id, list_aggregate(ys, 'string_agg', ',') AS years FROM (SELECT ref_id, list_filter(regexp_extract_all(reference, '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '(18|19|20)[0-9]{2}[a-zA-Z]?')) AS ys0, list_filter(ys0, lambda y, i: list_position(ys0, y) = i) AS ys FROM (SELECT DISTINCT ref_id, reference FROM reference_entries)) WHERE len(ys) > 0")
+def year_extract(spark: SparkSession, d: str) -> DataFrame:
+    y = read(spark, d, "reference_entries").select("ref_id", "reference").distinct().select("ref_id", T.years(F.col("reference")).alias("y")).where(F.size("y") > 0)
+    return y.select("ref_id", F.array_join("y", ",").alias("years"))
+
+
+@query(citations.MATCH_SQL)
+def reference_match(spark: SparkSession, d: str) -> DataFrame:
+    return citations.match_references(read(spark, d, "citation_sentences"), read(spark, d, "reference_entries"))
+
+
+@query(citations.UNCITED_SQL)
+def uncited_references(spark: SparkSession, d: str) -> DataFrame:
+    return citations.uncited(read(spark, d, "citation_sentences"), read(spark, d, "reference_entries"))
+
+
+@query("SELECT c.kind AS kind, count(*) AS n, count(DISTINCT sentence_id) AS sentences, count(c.cite_year) AS with_year FROM (SELECT sentence_id, unnest(citations) AS c FROM (SELECT sentence_id, any_value(citations) AS citations FROM citation_sentences GROUP BY sentence_id)) GROUP BY 1")
+def citation_bank_stats(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "citation_sentences").groupBy("sentence_id").agg(F.first("citations", ignorenulls=True).alias("citations")).select("sentence_id", F.explode("citations").alias("c"))
+    return c.groupBy(F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sentence_id").alias("sentences"), F.count("c.cite_year").alias("with_year"))
+
+
+@query("SELECT verdict, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM (SELECT DISTINCT item_id, verdict, confidence FROM cite_check_items) GROUP BY verdict")
+def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "cite_check_items").select("item_id", "verdict", "confidence").distinct().groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+@query("SELECT item_id, e.page AS page, round(e.score, 4) AS score FROM (SELECT item_id, unnest(evidence) AS e FROM (SELECT item_id, any_value(evidence) AS evidence FROM cite_check_items GROUP BY item_id)) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY e.score DESC, e.page, e.text) = 1")
+def best_evidence(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "cite_check_items").groupBy("item_id").agg(F.first("evidence", ignorenulls=True).alias("evidence")).select("item_id", F.explode("evidence").alias("e"))
+    best = e.groupBy("item_id").agg(F.min(F.struct((-F.col("e.score")).alias("s"), F.col("e.page").alias("page"), F.col("e.text").alias("text"))).alias("m"))
+    return best.select("item_id", F.col("m.page").alias("page"), F.round(-F.col("m.s"), 4).alias("score"))
+
+
+# --- state --------------------------------------------------------------------------------
+
+
+@query("SELECT event_type AS category, user_id::VARCHAR AS key, count(*) AS count, arg_max(event_id, ts) AS page, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM (SELECT * FROM events ORDER BY ts, event_id) GROUP BY 1, 2".replace("arg_max(event_id, ts)", "arg_max(event_id, (ts, event_id))"))
+def coverage_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The events as review marks, in two batches into an empty store."""
+    marks = read(spark, d, "events").select(F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("page"), F.col("ts").alias("seen_at"))
+    empty = spark.createDataFrame([], "category string, key string, count bigint, page bigint, first_seen_at timestamp, last_seen_at timestamp").withColumn("first_seen_at", F.col("first_seen_at").cast(marks.schema["seen_at"].dataType)).withColumn("last_seen_at", F.col("last_seen_at").cast(marks.schema["seen_at"].dataType))
+    first = coverage.mark_seen(empty, marks.where("page % 2 = 0"))
+    return coverage.mark_seen(first, marks.where("page % 2 = 1"))
+
+
+@query("SELECT DISTINCT sentence_id FROM citation_sentences WHERE sentence_id NOT IN (SELECT sentence_id FROM polish_results)")
+def coverage_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.unseen(read(spark, d, "citation_sentences").select("sentence_id").distinct(), read(spark, d, "polish_results"), "sentence_id")
+
+
+@query("SELECT d.pdf AS path, CASE WHEN f.pdf IS NULL THEN 'removed' WHEN d.pdf IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT pdf, sum(n_chars)::BIGINT AS size, max(received_at) AS mtime FROM documents WHERE pdf IS NOT NULL GROUP BY pdf) d LEFT JOIN library_files f USING (pdf) WHERE f.pdf IS NULL OR f.size_bytes IS DISTINCT FROM d.size OR f.mtime IS DISTINCT FROM d.mtime UNION ALL SELECT pdf, 'added' FROM library_files WHERE pdf NOT IN (SELECT pdf FROM documents WHERE pdf IS NOT NULL)")
+def manifest_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' manifest against the file list."""
+    old = read(spark, d, "documents").where("pdf IS NOT NULL").groupBy(F.col("pdf").alias("path")).agg(F.sum("n_chars").cast("bigint").alias("size"), F.max("received_at").alias("mtime"))
+    new = read(spark, d, "library_files").select(F.col("pdf").alias("path"), F.col("size_bytes").alias("size"), "mtime")
+    return coverage.changed_files(old, new)
+
+
+@query("SELECT source, count(*) AS docs, count(*) FILTER (text IS NULL) AS null_texts, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("text").isNull()).alias("null_texts"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT result_id, v.level AS level, length(v.rewrite)::BIGINT AS size FROM (SELECT result_id, unnest(variants) AS v, generate_subscripts(variants, 1) AS i FROM (SELECT result_id, any_value(variants) AS variants FROM polish_results GROUP BY result_id)) QUALIFY row_number() OVER (PARTITION BY result_id, v.level ORDER BY i) = 1")
+def variants_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """The first rewrite of each level."""
+    v = read(spark, d, "polish_results").groupBy("result_id").agg(F.first("variants", ignorenulls=True).alias("variants")).select("result_id", F.posexplode("variants").alias("i", "v"))
+    one = v.groupBy("result_id", F.col("v.level").alias("level")).agg(F.min_by(F.col("v.rewrite"), F.col("i")).alias("rewrite"))
+    return one.select("result_id", "level", F.length("rewrite").cast("bigint").alias("size"))
