@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import lexicon
 from inkstone.functions import text as T
-from inkstone.operators import citations, corpus, coverage, structure, style, vector
+from inkstone.operators import citations, corpus, coverage, documents, structure, style, vector
 from inkstone.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,3 +433,59 @@ def variants_by_level(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "polish_results").groupBy("result_id").agg(F.first("variants", ignorenulls=True).alias("variants")).select("result_id", F.posexplode("variants").alias("i", "v"))
     one = v.groupBy("result_id", F.col("v.level").alias("level")).agg(F.min_by(F.col("v.rewrite"), F.col("i")).alias("rewrite"))
     return one.select("result_id", "level", F.length("rewrite").cast("bigint").alias("size"))
+
+
+# --- documents ----------------------------------------------------------------------------
+
+_HEADS = "SELECT doc_id, line_no, trim(line) AS heading FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(trim(line), '^\\d+(\\.\\d+)* [\\p{L}]') AND length(trim(line)) <= 60"
+_BASE = "lower(trim(regexp_replace(heading, '^\\s*(?:\\d+(?:\\.\\d+)*[.)]?|[一二三四五六七八九十]+[、.．]|（[一二三四五六七八九十]+）)\\s*', '')))"
+_CANON = "CASE " + " ".join(f"WHEN regexp_matches(base, {_q(p)}) THEN {_q(n)}" for n, p in documents.HEADINGS) + " ELSE 'other' END"
+
+
+@query(f"SELECT doc_id, line_no::INT AS line_no, {_CANON} AS canonical FROM (SELECT *, {_BASE} AS base FROM ({_HEADS}))")
+def heading_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return _headings(spark, d).select("doc_id", "line_no", documents.canonical(F.col("heading")).alias("canonical"))
+
+
+@query(f"SELECT outline, count(*) AS n, min(doc_id) AS example FROM (SELECT doc_id, string_agg(canonical, ' > ' ORDER BY line_no) FILTER (r <= 18) AS outline FROM (SELECT doc_id, line_no, {_CANON} AS canonical, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM (SELECT *, {_BASE} AS base FROM ({_HEADS}))) GROUP BY doc_id) GROUP BY outline")
+def outline_counts(spark: SparkSession, d: str) -> DataFrame:
+    return documents.outlines(heading_canonical(spark, d), "doc_id", "line_no", "canonical")
+
+
+@query("SELECT sentence_id, list_aggregate(list_transform(regexp_extract_all(sentence, '[A-Z][A-Za-z''’-]+(?: et al\\.)? ?[(（](?:18|19|20)[0-9]{2}[a-z]?[)）]'), lambda x: regexp_replace(x, ' ?[(（]((?:18|19|20)[0-9]{2}[a-z]?)[)）]$', '|\\1')), 'string_agg', ';') AS cites FROM " + _DIST + " WHERE regexp_matches(sentence, '[A-Z][A-Za-z''’-]+(?: et al\\.)? ?[(（](?:18|19|20)[0-9]{2}[a-z]?[)）]')")
+def narrative_citations(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("sentence_id", documents.narrative_citations(F.col("sentence")).alias("c")).where(F.size("c") > 0).select("sentence_id", F.array_join("c", ";").alias("cites"))
+
+
+@query("SELECT sentence_id, CASE " + " ".join(f"WHEN starts_with(lower(sentence), {_q(p)}) THEN substring(sentence, 1, {len(p)}) || CASE WHEN substring(sentence, {len(p) + 1}, 1) = ',' THEN ',' ELSE '' END" for p in lexicon.SCAFFOLDS_EN) + f" ELSE list_aggregate(string_split({_WS.format('sentence')}, ' ')[1:6], 'string_agg', ' ') END AS scaffold FROM {_DIST}")
+def scaffold(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("sentence_id", documents.scaffold(F.col("sentence")).alias("scaffold"))
+
+
+@query(
+    """WITH w AS (SELECT pdf, regexp_extract_all(lower(pdf), '[\\p{L}\\p{N}]+') AS ws FROM library_files), c AS (SELECT DISTINCT item_id AS cite, lower(regexp_extract(cited_author, '^([^,]+),', 1)) AS name, substring(cited_year, 1, 4) AS y FROM cite_check_items WHERE cited_author IS NOT NULL AND cited_year IS NOT NULL)
+SELECT cite, min(pdf) AS pdf FROM c JOIN w ON list_contains(ws, c.name) AND list_contains(ws, c.y) GROUP BY cite"""
+)
+def citation_files(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "cite_check_items").where("cited_author IS NOT NULL AND cited_year IS NOT NULL").select(F.col("item_id").alias("cite"), F.lower(F.regexp_extract("cited_author", "^([^,]+),", 1)).alias("name"), F.substring("cited_year", 1, 4).alias("y")).distinct()
+    return documents.file_matches(c, read(spark, d, "library_files"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS s, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS o FROM documents WHERE starts_with(text, 'References')),
+b AS (SELECT *, (regexp_matches(s, '^(?:\\[\\d{1,3}\\]|\\d{1,3}[.)])\\s') OR (regexp_matches(s, '^[\\p{Lu}\\x{4e00}-\\x{9fff}][\\p{L}’''-]*[,，.(（ ]') AND regexp_matches(substring(s, 1, 220), '(?:18|19|20)\\d{2}')))::INT AS begins FROM l WHERE s <> ''),
+e AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY o) AS entry FROM b)
+SELECT doc_id, entry::INT AS entry, string_agg(s, ' ' ORDER BY o) AS reference FROM e WHERE entry > 0 GROUP BY doc_id, entry"""
+)
+def reference_entries_islands(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").where(F.startswith("text", F.lit("References"))).select("doc_id", F.posexplode(F.split("text", "\\r?\\n")).alias("o", "line"))
+    return documents.reference_islands(lines, "doc_id", "o", "line")
+
+
+@query(f"SELECT t.sentence_id, count(*) AS bigrams, count(*) FILTER (l.bigram IS NULL) AS unseen, CASE WHEN count(*) FILTER (l.bigram IS NULL) >= 4 AND count(*) FILTER (l.bigram IS NULL) >= 0.33 * count(*) THEN 'warning' ELSE 'info' END AS severity FROM (SELECT sentence_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i+1])) AS bigram FROM (SELECT sentence_id, {_ASCII.replace('text', 'sentence')} AS w FROM {_DIST})) t LEFT JOIN (SELECT DISTINCT bigram FROM {_big(_LIB)}) l USING (bigram) GROUP BY t.sentence_id HAVING count(*) >= 8 AND count(*) FILTER (l.bigram IS NULL) >= 3 AND count(*) FILTER (l.bigram IS NULL) >= 0.25 * count(*)")
+def uncommon_phrasing(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _sentences(spark, d).select("sentence_id", F.explode(T.bigrams(T.ascii_words(F.col("sentence")))).alias("bigram"))
+    known = corpus.phrases(_library(spark, d)).select("bigram", F.lit(1).alias("k"))
+    per = pairs.join(known, "bigram", "left").groupBy("sentence_id").agg(F.count(F.lit(1)).alias("bigrams"), F.count_if(F.col("k").isNull()).alias("unseen"))
+    per = per.where((F.col("bigrams") >= 8) & (F.col("unseen") >= 3) & (F.col("unseen") >= 0.25 * F.col("bigrams")))
+    return per.withColumn("severity", F.when((F.col("unseen") >= 4) & (F.col("unseen") >= 0.33 * F.col("bigrams")), "warning").otherwise("info"))
