@@ -45,7 +45,9 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_full_blocks_use_the_tree(spark):
+@pytest.mark.parametrize("chunk", [4, 2000])
+def test_full_blocks_use_the_tree(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
     base = " ".join(f"word{i} of the long phrase of the trade number {i * 7}" for i in range(12))
     df = spark.createDataFrame([("t", i, base + f" end{i}") for i in range(14)], "tbl string, id long, text string")
     assert neardup.near_duplicates(df).count() == 14 * 13 // 2
