@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstone.functions import lexicon
+from inkstone.functions import lexicon, prose
 from inkstone.functions import text as T
 from inkstone.operators import citations, corpus, coverage, documents, structure, style, vector
 from inkstone.session import read
@@ -489,3 +489,32 @@ def uncommon_phrasing(spark: SparkSession, d: str) -> DataFrame:
     per = pairs.join(known, "bigram", "left").groupBy("sentence_id").agg(F.count(F.lit(1)).alias("bigrams"), F.count_if(F.col("k").isNull()).alias("unseen"))
     per = per.where((F.col("bigrams") >= 8) & (F.col("unseen") >= 3) & (F.col("unseen") >= 0.25 * F.col("bigrams")))
     return per.withColumn("severity", F.when((F.col("unseen") >= 4) & (F.col("unseen") >= 0.33 * F.col("bigrams")), "warning").otherwise("info"))
+
+
+# --- prose --------------------------------------------------------------------------------
+
+_NODES = "(SELECT DISTINCT node_no, pdf, page, text FROM rag_nodes WHERE text IS NOT NULL)"
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "rag_nodes").where("text IS NOT NULL").select("node_no", "pdf", "page", "text").distinct()
+
+
+@query(
+    r"SELECT doc_id, line_no::INT AS line_no FROM (SELECT doc_id, line_no, trim(line) AS t, regexp_replace(line, '[\s\p{Z}]+', '', 'g') AS c FROM (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(t, '\\[\[\]()]|\$\$|\\(?:begin|end)\{') OR regexp_matches(t, '(?i)\\(?:frac|alpha|beta|gamma|delta|epsilon|theta|lambda|mu|nu|pi|rho|sigma|tau|phi|psi|omega)(?:[^A-Za-z0-9_]|$)') OR (length(c) >= 8 AND len(regexp_extract_all(c, '[=<>+\-*/^_{}\[\]\\]')) >= 3 AND len(regexp_extract_all(c, '[A-Za-z\x{4e00}-\x{9fff}]')) / length(c) < 0.55)"
+)
+def math_like_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\\r?\\n")).alias("line_no", "line"))
+    return lines.where(prose.math_like(F.col("line"))).select("doc_id", "line_no")
+
+
+@query()
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).select("node_no", F.posexplode(prose.sentences(F.col("text"))).alias("sent_no", "sentence"))
+
+
+@query()
+def citation_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the nodes before any references heading that cite somebody by name and year."""
+    s = _nodes(spark, d).select("node_no", "pdf", "page", F.explode(prose.sentences(prose.before_references(F.col("text")))).alias("sentence"))
+    return s.select("node_no", "pdf", "page", "sentence", documents.narrative_citations(F.col("sentence")).alias("citations")).where(F.size("citations") > 0)

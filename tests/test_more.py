@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from inkstone.api import PROFILES, Engine
+from inkstone.functions import prose
 from inkstone.operators import coverage as cov
 from inkstone.operators import documents, review
 from inkstone.sources import records
@@ -82,3 +83,16 @@ def test_stream(spark, tmp_path):
     r = stream.read_store(spark, store, 1).first()
     assert (r["count"], r.page) == (2, 3) and r.first_seen_at < r.last_seen_at
     assert cov.unseen(spark.createDataFrame([("k",), ("m",)], "key string"), stream.read_store(spark, store, 1)).count() == 1
+
+
+def test_prose(spark):
+    def run(value, column):
+        return spark.createDataFrame([(value,)], "s string").select(column(F.col("s"))).first()[0]
+
+    assert run("$$x = y$$", prose.math_like) and run("a_1 + b^2 = {c}", prose.math_like) and not run("The river rose in May.", prose.math_like)
+    assert run(" Page 12 ", prose.page_number) and not run("12 rivers", prose.page_number)
+    body = "The river rose in May and nobody had expected so much water."
+    assert run(body + "\nReferences\n[1] Roe", prose.before_references) == body
+    assert run("short\nReferences\n[1] Roe", prose.before_references) == "" and run(body, prose.before_references) == body
+    text = "We cite Roe et al. (2001), see Fig. 3. It rose\nin May (see J. Doe). Then it fell!\n\nNew part"
+    assert run(text, prose.sentences) == ["We cite Roe et al. (2001), see Fig. 3.", "It rose in May (see J. Doe).", "Then it fell!", "New part"]
