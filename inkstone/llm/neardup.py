@@ -6,15 +6,16 @@ groups and the group counts are the coordinates.  The summed coordinate minima o
 bound the overlap of their sets from above, so a pair (or, in a tree over the points, a pair
 of boxes) whose bound is too small is dropped; what survives is verified on the sets.
 
-The points are brought together in blocks first: texts that share a sampled long gram (32
-and 80 characters, 12 and 30 in Han and Kana; sampled by hash at a rate that follows the
-size of the text, so that two similar texts sample alike) meet in the block of that gram.
-Boxes alone cannot be the top of a distributed tree here: in few dimensions all texts of one
-size overlap, in many dimensions every box does (see README for figures).  Inside a block pairs are
-dropped whose 64-bit sketches (of each group the lowest bit of its smallest hash) differ in
-more than ``SKETCH_FAR`` bits.  A gram that more than ``MOST`` different texts share (phrases
-of the trade) is no block of its own; its block is then taken by the gram together with the
-next sampled grams, and what is full even then is searched whole with a tree over its points.
+The points are brought together in blocks first: of the hashed 5-grams of a text the smallest
+values under ``HASHES`` orders are taken, and each of ``BANDS`` bands of ``ROWS`` such minima is
+a block key.  Two texts of similarity s agree in a minimum with probability s, so they meet in
+some block with probability 1 - (1 - s^6)^56: 0.999 at 0.7 and more above, wherever the edits
+are, however short the text is and however many texts a group has.  Pairs of a block are first
+thinned by sketches (two bits of each of 128 minima; a pair of similarity 0.7 passes but for one
+in about a million).  These are the only approximations.  Boxes alone cannot be the top of a distributed tree here: in few dimensions all
+texts of one size overlap, in many dimensions every box does (see README for figures).  All
+pairs of a block are candidates; a block of more than ``PAIRED`` different texts is searched
+whole with a tree over its points.
 
 Defined results: null, empty and blank texts are no cases; a text of fewer than five
 characters is similar only to an equal one; equal texts have similarity 1 and form a class,
@@ -37,16 +38,13 @@ from inkstone.session import materialize
 THRESHOLD = 0.7
 GRAM = 5
 GROUPS = 64
-#: Lengths of the block grams, for letters and for Han and Kana.
-LONG, LONG_EAST = (32, 80), (12, 30)
-#: Sampled grams of each length: between this number and twice as many (all, if there are fewer).
-SAMPLED = (10, 6)
-#: Different texts that a block holds at most.
-MOST = 5
-#: Sampled grams in a row that make the block of the second level.
-RUN = 3
-#: Bits in which the sketches of two texts may differ: at a similarity of 0.7 the mean is 9.6, the deviation 2.9.
-SKETCH_FAR = 21
+#: Minima that make a block key, and keys of each text (each minimum is in two of them).
+ROWS, BANDS = 6, 56
+HASHES = ROWS * BANDS // 2
+#: Blocks of up to so many different texts are paired directly, fuller ones searched with a tree.
+PAIRED = 64
+#: Minima of a sketch, and how many of them may differ in their two bits: at a similarity of 0.7 the mean is 28.8, the deviation 4.7.
+SKETCH, SKETCH_FAR = 128, 52
 ALL_PAIRS = 200
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -117,26 +115,44 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float)
     return overlap * (1 + threshold) >= threshold * (a + b) - 1e-9
 
 
-def sampled(texts: list[str]) -> list[list[int]]:
-    """The block grams of each text in text order: signed 64-bit keys."""
-    out: list[list[int]] = [[] for _ in texts]
-    east = [sum(c >= "⺀" for c in t[:400]) / max(1, min(400, len(t))) if not t.isascii() else 0.0 for t in texts]
-    # texts in between are in both kinds
-    for lengths, mine in ((LONG_EAST, [i for i, e in enumerate(east) if e > 0.2]), (LONG, [i for i, e in enumerate(east) if e < 0.4])):
-        b = Batch([texts[i] for i in mine], set(lengths))
-        if not len(b.codes):
-            continue
-        for which, w in enumerate(lengths):
-            total = np.maximum(0, b.lens - w + 1)
-            halvings = np.ceil(np.log2(np.maximum(1, total / (2.0 * SAMPLED[which]))))
-            limit = np.floor(2.0 ** (63 - halvings)).astype(np.uint64)
-            h = b.hash[w]
-            # the last mix is a bijection with even bits: its upper bits are the sampling hash
-            at = np.flatnonzero((b.left >= w) & ((h >> np.uint64(1)) <= limit[b.doc]))
-            keys = (h[at] * _C ^ np.uint64(w)).view(np.int64).tolist()
-            for d, k in zip(b.doc[at].tolist(), keys):
-                out[mine[d]].append(k)
-    return out
+#: Odd factors: each makes another order of the hashed grams.
+_ORDERS = (_mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _A) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def minima(texts: list[str], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, its smallest grams in the first ``count`` orders as a column) of each text of five characters or more."""
+    b = Batch(texts)
+    ok = b.left >= GRAM
+    doc, h = b.doc[ok], (b.hash[GRAM][ok] >> np.uint64(32)).astype(np.uint32)
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros((count, 0), np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    return doc[first], np.stack([np.minimum.reduceat(h * o, first) for o in _ORDERS[:count]])
+
+
+def band_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, its ``BANDS`` block keys as a row) of each text of five characters or more."""
+    doc, least = minima(texts, HASHES)
+    least = least.astype(np.uint64)
+    keys = np.empty((len(doc), BANDS), np.int64)
+    half = BANDS // 2
+    for band in range(BANDS):
+        # neighbouring minima in the first half, minima far apart in the second
+        rows = least[band * ROWS : (band + 1) * ROWS] if band < half else least[band - half :: half]
+        key = np.full(len(doc), np.uint64(band + 1))
+        for r in rows:
+            key = _mix((key ^ r) * _A + _C)
+        keys[:, band] = key.view(np.int64)
+    return doc, keys
+
+
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, its sketch as a row of four words: both bit planes of 64 minima, then of the next 64)."""
+    doc, least = minima(texts, SKETCH)
+    # the minima are small numbers; their mixed bits are even
+    mixed = _mix(least.astype(np.uint64) * _B)
+    planes = [np.packbits(((mixed[k : k + 64] >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8).T, axis=1) for k in range(0, SKETCH, 64) for bit in (40, 41)]
+    return doc, np.stack([np.ascontiguousarray(p).view(np.int64)[:, 0] for p in planes], axis=1)
 
 
 class RTree:
@@ -190,12 +206,14 @@ class RTree:
         return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
+#: Columns of a sketch.
+_WORDS = [f"s{w}" for w in range(SKETCH // 32)]
 #: Texts of a full block that one task searches are at most about twice this many.
 CHUNK = 2000
 
 
 def _tree_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of full blocks (key, class, h, n, point, sketch), by trees over their points.
+    """Candidate pairs of full blocks (key, class, h, n, point, s0 to s3), by trees over their points.
 
     A large block is cut into chunks by hash, and each pair of chunks is a group of its own, so
     that no task holds a block whose size follows the data.
@@ -208,14 +226,15 @@ def _tree_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         hs, mine = table.column("h").to_numpy(), table.column("mine").to_numpy()
-        sizes, bits = table.column("n").to_numpy(), table.column("sketch").to_numpy().view(np.uint64)
         one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        i, j = RTree(_matrix(table.column("point")), sizes).pairs(threshold)
-        near = (np.bitwise_count(bits[i] ^ bits[j]) <= SKETCH_FAR) & (one | (mine[i] != mine[j]))
+        i, j = RTree(_matrix(table.column("point")), table.column("n").to_numpy()).pairs(threshold)
+        s = [table.column(f"s{w}").to_numpy().view(np.uint64) for w in range(4)]
+        apart = [np.bitwise_count((s[w][i] ^ s[w][j]) | (s[w + 1][i] ^ s[w + 1][j])) for w in (0, 2)]
+        near = (apart[0].astype(np.int32) + apart[1] <= SKETCH_FAR) & (one | (mine[i] != mine[j]))
         i, j = i[near], j[near]
         return pa.table({"a": pa.array(np.minimum(hs[i], hs[j])), "b": pa.array(np.maximum(hs[i], hs[j]))})
 
-    cut = cut.select("key", "class", "i", "j", "h", "n", "point", "sketch", "mine")
+    cut = cut.select("key", "class", "i", "j", "h", "n", "point", "mine", *_WORDS)
     return cut.groupBy("key", "class", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -246,22 +265,6 @@ def _slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def sketches(texts: list[str]) -> np.ndarray:
-    """64 bits of each text: of each group of 5-grams the lowest bit of its smallest hash."""
-    b = Batch(texts)
-    out = np.zeros(len(texts), np.uint64)
-    at = np.flatnonzero(b.left >= GRAM)
-    if len(at):
-        h = b.hash[GRAM][at]
-        cell = (b.doc[at] * GROUPS).astype(np.uint64) + (h >> np.uint64(58))
-        order = np.sort((cell << np.uint64(32)) | ((h >> np.uint64(20)) & np.uint64(0xFFFFFFFF)))
-        cells = (order >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-        bit = order[first] & np.uint64(1)
-        np.bitwise_or.at(out, cells[first] // GROUPS, bit << (cells[first] % GROUPS).astype(np.uint64))
-    return out
-
-
 def _hash(table: str, text: str) -> int:
     import xxhash
 
@@ -283,9 +286,9 @@ def _members(records: DataFrame) -> DataFrame:
 
 
 def _block_rows(records: DataFrame) -> DataFrame:
-    """(key, next, h, sketch): a row for each sampled gram; ``next``: the key of the second level.
+    """(key, h): a row for each band of each text.
 
-    Copies of a text that one task meets give their grams once, so that a text that a third
+    Copies of a text that one task meets give their keys once, so that a text that a third
     of all records repeat fills no block.
     """
     import xxhash
@@ -304,95 +307,101 @@ def _block_rows(records: DataFrame) -> DataFrame:
             salts = {n: np.int64(xxhash.xxh3_64_intdigest(n) - (1 << 63)) for n in {f[0] for f in fresh}}
             for lo, hi in _slices([t for _, t, _ in fresh]):
                 part = fresh[lo:hi]
-                texts = [t for _, t, _ in part]
-                lists = sampled(texts)
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                keys = np.fromiter((k for ks in lists for k in ks), np.int64, int(sizes.sum()))
-                doc = np.repeat(np.arange(len(part)), sizes)
-                keys ^= np.array([salts[n] for n, _, _ in part], np.int64)[doc]
-                # the next grams of the same text; short lists count as a whole, ends of longer ones not at all
-                u = keys.view(np.uint64)
-                run_ = _mix(u * _A)
-                left = np.cumsum(sizes)[doc] - np.arange(len(keys))
-                for o in range(1, RUN):
-                    moved = np.concatenate([u[o:], np.zeros(min(o, len(u)), np.uint64)])
-                    run_ = np.where(left > o, _mix(run_ * _A + moved * _C), run_)
-                start = left == sizes[doc]
-                ok = (left >= RUN) | start
-                nxt = np.where(ok, run_, np.uint64(0)).view(np.int64)
-                hs = np.array([h for _, _, h in part], np.int64)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nxt), pa.array(hs), pa.array(sketches(texts).view(np.int64)[doc])], ["key", "next", "h", "sketch"])
-
-    return records.mapInArrow(run, "key bigint, next bigint, h bigint, sketch bigint")
+                doc, keys = band_keys([t for _, t, _ in part])
+                keys ^= np.array([salts[n] for n, _, _ in part], np.int64)[doc][:, None]
+                hs = np.repeat(np.array([h for _, _, h in part], np.int64)[doc], BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(hs)], ["key", "h"])
+
+    return records.mapInArrow(run, "key bigint, h bigint")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of near texts of blocks with 2 to MOST texts; of fuller blocks the rows (next, h, sketch).
+    """All pairs (a, b) of blocks of 2 to PAIRED texts; of fuller blocks every row (key, h).
 
-    ``rows`` are sorted by key and h.  A block is never held: beyond MOST texts its rows are passed on.
+    ``rows`` are sorted by key and h.  A block is never held: beyond PAIRED texts its rows are passed on.
     """
 
+    def out(k: np.ndarray, h: np.ndarray, known: list[int]) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(k)))
+        full = np.repeat(count > PAIRED, count) | np.isin(k, known)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for o in range(1, PAIRED):
+            i = np.flatnonzero(~full[:-o] & (k[:-o] == k[o:])) if len(k) > o else ()
+            if not len(i):
+                break
+            left.append(h[i])
+            right.append(h[i + o])
+        a, b = np.concatenate(left), np.concatenate(right)
+        cols = [[pa.nulls(len(a), pa.int64()), pa.array(v[full])] for v in (k, h)]
+        cols += [[pa.array(v), pa.nulls(int(full.sum()), pa.int64())] for v in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["key", "h", "a", "b"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = [np.zeros(0, np.int64)] * 4
+        keep = [np.zeros(0, np.int64)] * 2
         passing: int | None = None  # the key of a block that is known to be full
-
-        def out(k: np.ndarray, x: np.ndarray, h: np.ndarray, s: np.ndarray, known: int | None) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(k)))
-            full = np.repeat(count > MOST, count)
-            if known is not None:
-                full |= k == known
-            small = ~full & np.repeat(count > 1, count)
-            left, right = [], []
-            for o in range(1, MOST):
-                if len(k) <= o:
-                    break
-                i = np.flatnonzero(small[:-o] & (k[:-o] == k[o:]))
-                i = i[np.bitwise_count(s[i].view(np.uint64) ^ s[i + o].view(np.uint64)) <= SKETCH_FAR]
-                left.append(h[i])
-                right.append(h[i + o])
-            none = np.zeros(0, np.int64)
-            a, b = np.concatenate([*left, none]), np.concatenate([*right, none])
-            full &= x != 0
-            nx, hx, sx = x[full], h[full], s[full]
-            cols = [([pa.nulls(len(a), pa.int64()), pa.array(v)]) for v in (nx, hx, sx)]
-            cols += [[pa.array(v), pa.nulls(len(nx), pa.int64())] for v in (a, b)]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["key", "h", "sketch", "a", "b"])
-
         for batch in batches:
-            k, x, h, s = (np.concatenate([p, c.to_numpy()]) for p, c in zip(keep, batch.columns))
+            k, h = (np.concatenate([p, c.to_numpy()]) for p, c in zip(keep, batch.columns))
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])  # copies of a text count once
-            k, x, h, s = k[new], x[new], h[new], s[new]
+            k, h = k[new], h[new]
             if not len(k):
                 continue
+            known = [] if passing is None else [passing]
             last = int(np.searchsorted(k, k[-1]))
-            if len(k) - last > MOST or passing == k[-1]:  # the last block is full: pass on what is there
-                last = len(k) - 1
-                known, passing = passing if last == 0 or passing is not None else None, int(k[-1])
-                yield out(k[:last], x[:last], h[:last], s[:last], known if known is not None else (int(k[-1]) if last else None))
+            if len(k) - last > PAIRED or passing == k[-1]:  # the last block is full: pass on what is there
+                last, passing = len(k) - 1, int(k[-1])
+                known.append(passing)
             else:
-                yield out(k[:last], x[:last], h[:last], s[:last], passing)
                 passing = None
-            keep = [k[last:], x[last:], h[last:], s[last:]]
-        yield out(*keep, passing)
+            yield out(k[:last], h[:last], known)
+            keep = [k[last:], h[last:]]
+        yield out(*keep, [] if passing is None else [passing])
 
-    return rows.mapInArrow(run, "key bigint, h bigint, sketch bigint, a bigint, b bigint")
+    return rows.mapInArrow(run, "key bigint, h bigint, a bigint, b bigint")
 
 
 def candidates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of texts that meet in some block, and (key, h) of blocks that stay full."""
-    rows = _block_rows(records)
-    one = materialize(_block_pairs(rows.repartition("key").sortWithinPartitions("key", "h")), "blocks")
-    more = one.where(F.col("a").isNull()).select("key", F.lit(1).cast("bigint").alias("next"), "h", "sketch")
-    two = materialize(_block_pairs(more.repartition("key").sortWithinPartitions("key", "h").select("key", F.col("key").alias("next"), "h", "sketch")), "runs")
-    pairs = one.where(F.col("a").isNotNull()).unionByName(two.where(F.col("a").isNotNull()))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, two.where(F.col("a").isNull()).select("key", "h").distinct()
+    """Distinct pairs (a < b) of texts that meet in some block, and (key, h) of full blocks."""
+    rows = _block_rows(records).repartition("key").sortWithinPartitions("key", "h")
+    found = materialize(_block_pairs(rows), "blocks")
+    # the rows of a block are sorted by h, so a < b
+    return found.where(F.col("a").isNotNull()).select("a", "b").distinct(), found.where(F.col("a").isNull()).select("key", "h").distinct()
+
+
+def _sketched(records: DataFrame) -> DataFrame:
+    """(h, s0 to s3): the sketch of each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = {}
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                t = normal(t) if t else ""
+                if t and (h := _hash(n, t)) not in seen:
+                    fresh[h] = t
+            seen |= fresh.keys()
+            if len(seen) > SEEN:
+                seen.clear()
+            hs, texts = np.fromiter(fresh.keys(), np.int64, len(fresh)), list(fresh.values())
+            for lo, hi in _slices(texts):
+                doc, words = sketches(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(hs[lo:hi][doc]), *(pa.array(w) for w in words.T)], ["h", *_WORDS])
+
+    return records.mapInArrow(run, "h bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)).dropDuplicates(["h"])
+
+
+def thinned(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are near."""
+    a = sketch.select(F.col("h").alias("a"), *[F.col(w).alias(f"a{w}") for w in _WORDS])
+    b = sketch.select(F.col("h").alias("b"), *[F.col(w).alias(f"b{w}") for w in _WORDS])
+    differ = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")) for w in _WORDS]
+    apart = F.bit_count(differ[0].bitwiseOR(differ[1])) + F.bit_count(differ[2].bitwiseOR(differ[3]))
+    return pairs.join(a, "a").join(b, "b").where(apart <= SKETCH_FAR).select("a", "b")
 
 
 def _points(texts: DataFrame) -> DataFrame:
-    """(h, size of the set, point as bytes, sketch, text): the coordinates of each text."""
+    """(h, size of the set, point as bytes, text): the coordinates of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,9 +411,9 @@ def _points(texts: DataFrame) -> DataFrame:
                 points = point(doc, grams, hi - lo)
                 sizes = np.bincount(doc, minlength=hi - lo)
                 raw = [p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes() for p in points]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array(sketches(all_[lo:hi]).view(np.int64)), pa.array(all_[lo:hi], pa.string())], ["h", "n", "point", "sketch", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array(all_[lo:hi], pa.string())], ["h", "n", "point", "text"])
 
-    return texts.mapInArrow(run, "h bigint, n int, point binary, sketch bigint, text string")
+    return texts.mapInArrow(run, "h bigint, n int, point binary, text string")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -465,13 +474,14 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     members = materialize(_members(records), "members").distinct()
     where = members.groupBy("h").agg(F.min("tbl").alias("tbl"), F.min("id").alias("id"))
     pairs, rest = candidates(records)
-    pairs, rest = materialize(pairs, "pairs"), materialize(rest, "rest")
+    sketch = materialize(_sketched(records), "sketches")
+    pairs, rest = materialize(thinned(pairs, sketch), "pairs"), materialize(rest, "rest")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(rest.select("h")).distinct()
     shown = needed.join(where, "h").join(records, ["tbl", "id"]).select("h", "text")
     points = materialize(_points(shown).dropDuplicates(["h"]), "points")
     # similar texts are of one size class or of neighbouring ones
     step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(-np.log(threshold)))
-    rest = rest.join(points.select("h", "n", "point", "sketch"), "h").select("key", F.explode(F.array(step, step + 1)).alias("class"), "h", "n", "point", "sketch")
+    rest = rest.join(points.select("h", "n", "point"), "h").join(sketch, "h").select("key", F.explode(F.array(step, step + 1)).alias("class"), "h", "n", "point", *_WORDS)
     close = bounded(pairs, points, threshold).unionByName(_tree_pairs(rest, threshold)).distinct()
     similar = materialize(similar_pairs(close, points.select("h", "text"), threshold), "similar")
     a = members.select("tbl", F.col("h").alias("a"), F.col("id").alias("x"))

@@ -1,5 +1,7 @@
 """The distributed operators on small fixtures: nulls, empties, repeats, clashing columns, empty tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,38 @@ def test_chunks_pages_languages(spark):
     results = spark.createDataFrame([(i, i, "en" if i % 2 else "fr") for i in range(38)] + [(38, 38, "en"), (39, 39, None)], "result_id long, sentence_id long, language_label string")
     labels = spark.createDataFrame([("en", "en"), ("fr", "fr")], "label string, lang string")
     assert rows(languages.language_findings(languages.polished_languages(results, sents, labels))) == [(38, 0, "fr"), (39, 0, "en")]
+
+
+def _variants(seed, sizes, share):
+    """Groups of texts of 60 words with a share of the words replaced, as (id, text)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(2, 9)))
+    out = []
+    for size in sizes:
+        base = [word() for _ in range(60)]
+        out += [" ".join(word() if rng.random() < share else w for w in base) for _ in range(size)]
+    return list(enumerate(out))
+
+
+def _true_pairs(data, least=0.7):
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for _, t in data]
+    return {(data[i][0], data[j][0]) for i in range(len(data)) for j in range(i + 1, len(data)) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9}
+
+
+def _found_pairs(spark, data):
+    df = spark.createDataFrame([("t", i, t) for i, t in data], "tbl string, id long, text string")
+    return {(r.id_a, r.id_b) for r in neardup.near_duplicates(df).collect()}
+
+
+def test_large_groups_keep_their_pairs(spark):
+    data = _variants(3, [6] * 5 + [12] * 5 + [30] * 5, 0.06)
+    want, got = _true_pairs(data), _found_pairs(spark, data)
+    assert len(want) > 800 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_blocks_beyond_the_limit_are_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRED", 3)
+    monkeypatch.setattr(neardup, "CHUNK", 5)
+    data = _variants(5, [4, 12, 30], 0.06)
+    want, got = _true_pairs(data), _found_pairs(spark, data)
+    assert got <= want and len(got) >= 0.99 * len(want)
