@@ -97,11 +97,13 @@ class Batch:
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct 5-grams as (document, hash), sorted by both; texts under five characters give none."""
         ok = self.left >= GRAM
-        order = np.lexsort((self.hash[GRAM][ok], self.doc[ok]))
-        d, h = self.doc[ok][order], self.hash[GRAM][ok][order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-        return d[new], h[new]
+        # one number of the document and the upper bits of the hash sorts much faster than two
+        bits = np.uint64(max(1, int(len(self.lens) - 1).bit_length()))
+        both = np.sort((self.doc[ok].astype(np.uint64) << (np.uint64(64) - bits)) | (self.hash[GRAM][ok] >> bits))
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        return (both >> (np.uint64(64) - bits)).astype(np.int64), both << bits
 
 
 def point(doc: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
@@ -130,29 +132,27 @@ def minima(texts: list[str], count: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[first], np.stack([np.minimum.reduceat(h * o, first) for o in _ORDERS[:count]])
 
 
-def band_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, its ``BANDS`` block keys as a row) of each text of five characters or more."""
-    doc, least = minima(texts, HASHES)
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` block keys of each text as a row."""
     least = least.astype(np.uint64)
-    keys = np.empty((len(doc), BANDS), np.int64)
+    keys = np.empty((least.shape[1], BANDS), np.int64)
     half = BANDS // 2
     for band in range(BANDS):
         # neighbouring minima in the first half, minima far apart in the second
         rows = least[band * ROWS : (band + 1) * ROWS] if band < half else least[band - half :: half]
-        key = np.full(len(doc), np.uint64(band + 1))
+        key = np.full(len(keys), np.uint64(band + 1))
         for r in rows:
             key = _mix((key ^ r) * _A + _C)
         keys[:, band] = key.view(np.int64)
-    return doc, keys
+    return keys
 
 
-def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, its sketch as a row of four words: both bit planes of 64 minima, then of the next 64)."""
-    doc, least = minima(texts, SKETCH)
+def sketches(least: np.ndarray) -> np.ndarray:
+    """The sketch of each text as a row of four words: both bit planes of 64 minima, then of the next 64."""
     # the minima are small numbers; their mixed bits are even
-    mixed = _mix(least.astype(np.uint64) * _B)
+    mixed = _mix(least[:SKETCH].astype(np.uint64) * _B)
     planes = [np.packbits(((mixed[k : k + 64] >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8).T, axis=1) for k in range(0, SKETCH, 64) for bit in (40, 41)]
-    return doc, np.stack([np.ascontiguousarray(p).view(np.int64)[:, 0] for p in planes], axis=1)
+    return np.stack([np.ascontiguousarray(p).view(np.int64)[:, 0] for p in planes], axis=1)
 
 
 class RTree:
@@ -286,7 +286,7 @@ def _members(records: DataFrame) -> DataFrame:
 
 
 def _block_rows(records: DataFrame) -> DataFrame:
-    """(key, h): a row for each band of each text.
+    """(key, h, sketch): a row for each band of each text; the first one has the sketch.
 
     Copies of a text that one task meets give their keys once, so that a text that a third
     of all records repeat fills no block.
@@ -307,44 +307,58 @@ def _block_rows(records: DataFrame) -> DataFrame:
             salts = {n: np.int64(xxhash.xxh3_64_intdigest(n) - (1 << 63)) for n in {f[0] for f in fresh}}
             for lo, hi in _slices([t for _, t, _ in fresh]):
                 part = fresh[lo:hi]
-                doc, keys = band_keys([t for _, t, _ in part])
+                doc, least = minima([t for _, t, _ in part], HASHES)
+                keys = band_keys(least)
                 keys ^= np.array([salts[n] for n, _, _ in part], np.int64)[doc][:, None]
                 hs = np.repeat(np.array([h for _, _, h in part], np.int64)[doc], BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(hs)], ["key", "h"])
+                shown: list[bytes | None] = [None] * len(hs)
+                shown[::BANDS] = [row.tobytes() for row in sketches(least)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(hs), pa.array(shown, pa.binary())], ["key", "h", "sketch"])
 
-    return records.mapInArrow(run, "key bigint, h bigint")
+    return records.mapInArrow(run, "key bigint, h bigint, sketch binary")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of blocks of 2 to PAIRED texts; of fuller blocks every row (key, h).
+    """All pairs (a, b) of blocks of 2 to PAIRED rows; of fuller blocks every row (key, h); sketches (h, s0 to s3).
 
-    ``rows`` are sorted by key and h.  A block is never held: beyond PAIRED texts its rows are passed on.
+    ``rows`` are sorted by key.  A block is never held: beyond PAIRED rows they are passed on.
     """
+    names = ["key", "h", "a", "b", *_WORDS]
 
     def out(k: np.ndarray, h: np.ndarray, known: list[int]) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(k)))
         full = np.repeat(count > PAIRED, count) | np.isin(k, known)
+        some = ~full & np.repeat(count > 1, count)
+        kf, hf, k, h = k[full], h[full], k[some], h[some]
+        order = np.lexsort((h, k))
+        k, h = k[order], h[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])  # copies of a text count once
+        k, h = k[new], h[new]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for o in range(1, PAIRED):
-            i = np.flatnonzero(~full[:-o] & (k[:-o] == k[o:])) if len(k) > o else ()
+            i = np.flatnonzero(k[:-o] == k[o:]) if len(k) > o else ()
             if not len(i):
                 break
             left.append(h[i])
             right.append(h[i + o])
         a, b = np.concatenate(left), np.concatenate(right)
-        cols = [[pa.nulls(len(a), pa.int64()), pa.array(v[full])] for v in (k, h)]
-        cols += [[pa.array(v), pa.nulls(int(full.sum()), pa.int64())] for v in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["key", "h", "a", "b"])
+        cols = [[pa.nulls(len(a), pa.int64()), pa.array(v)] for v in (kf, hf)]
+        cols += [[pa.array(v), pa.nulls(len(kf), pa.int64())] for v in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols] + [pa.nulls(len(a) + len(kf), pa.int64())] * len(_WORDS), names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = [np.zeros(0, np.int64)] * 2
         passing: int | None = None  # the key of a block that is known to be full
         for batch in batches:
-            k, h = (np.concatenate([p, c.to_numpy()]) for p, c in zip(keep, batch.columns))
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])  # copies of a text count once
-            k, h = k[new], h[new]
+            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shown = batch.column(2).drop_null()
+            if len(shown):
+                words = np.frombuffer(b"".join(shown.to_pylist()), np.int64).reshape(-1, len(_WORDS))
+                none = pa.nulls(len(shown), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(h[batch.column(2).is_valid().to_numpy(zero_copy_only=False)]), none, none, *(pa.array(w) for w in words.T)], names)
+            k, h = np.concatenate([keep[0], k]), np.concatenate([keep[1], h])
             if not len(k):
                 continue
             known = [] if passing is None else [passing]
@@ -358,37 +372,15 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
             keep = [k[last:], h[last:]]
         yield out(*keep, [] if passing is None else [passing])
 
-    return rows.mapInArrow(run, "key bigint, h bigint, a bigint, b bigint")
+    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def candidates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of texts that meet in some block, and (key, h) of full blocks."""
-    rows = _block_rows(records).repartition("key").sortWithinPartitions("key", "h")
-    found = materialize(_block_pairs(rows), "blocks")
-    # the rows of a block are sorted by h, so a < b
-    return found.where(F.col("a").isNotNull()).select("a", "b").distinct(), found.where(F.col("a").isNull()).select("key", "h").distinct()
-
-
-def _sketched(records: DataFrame) -> DataFrame:
-    """(h, s0 to s3): the sketch of each text."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            fresh = {}
-            for n, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                t = normal(t) if t else ""
-                if t and (h := _hash(n, t)) not in seen:
-                    fresh[h] = t
-            seen |= fresh.keys()
-            if len(seen) > SEEN:
-                seen.clear()
-            hs, texts = np.fromiter(fresh.keys(), np.int64, len(fresh)), list(fresh.values())
-            for lo, hi in _slices(texts):
-                doc, words = sketches(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(hs[lo:hi][doc]), *(pa.array(w) for w in words.T)], ["h", *_WORDS])
-
-    return records.mapInArrow(run, "h bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)).dropDuplicates(["h"])
+def candidates(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of texts that meet in some block, (key, h) of full blocks, and (h, s0 to s3) of each text."""
+    found = materialize(_block_pairs(_block_rows(records).repartition("key").sortWithinPartitions("key")), "blocks")
+    pairs = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
+    full = found.where(F.col("key").isNotNull()).select("key", "h").distinct()
+    return pairs, full, found.where(F.col("s0").isNotNull()).select("h", *_WORDS).dropDuplicates(["h"])
 
 
 def thinned(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -473,8 +465,8 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     records = records.select("tbl", "id", "text")
     members = materialize(_members(records), "members").distinct()
     where = members.groupBy("h").agg(F.min("tbl").alias("tbl"), F.min("id").alias("id"))
-    pairs, rest = candidates(records)
-    sketch = materialize(_sketched(records), "sketches")
+    pairs, rest, sketch = candidates(records)
+    sketch = materialize(sketch, "sketches")
     pairs, rest = materialize(thinned(pairs, sketch), "pairs"), materialize(rest, "rest")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(rest.select("h")).distinct()
     shown = needed.join(where, "h").join(records, ["tbl", "id"]).select("h", "text")

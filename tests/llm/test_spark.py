@@ -121,6 +121,15 @@ def test_large_groups_keep_their_pairs(spark):
     assert len(want) > 800 and got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_even_edits_and_short_texts(spark):
+    data = _variants(4, [1] * 60, 0)
+    data += [(1000 + i, "".join("#" if k % 33 == 16 else c for k, c in enumerate(t))) for i, t in data]
+    data += [(2000, "a quiet river rose in may"), (2001, "a quiet river rose in maj"), (2002, "安静的河在五月涨水了"), (2003, "安静的河在五月涨水")]
+    want, got = _true_pairs(data), _found_pairs(spark, data)
+    assert {(2000, 2001), (2002, 2003)} <= want and len(want) > 40
+    assert got <= want and len(got) >= 0.98 * len(want) and {(2000, 2001), (2002, 2003)} <= got
+
+
 def test_blocks_beyond_the_limit_are_searched_whole(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PAIRED", 3)
     monkeypatch.setattr(neardup, "CHUNK", 5)
