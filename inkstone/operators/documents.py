@@ -25,6 +25,18 @@ def reference_islands(lines: DataFrame, doc: str, order: str, line: str) -> Data
     return parts.select(doc, F.col("entry").cast("int").alias("entry"), F.array_join(F.transform("p", lambda x: x["s"]), " ").alias("reference"))
 
 
+#: A line that is only the heading of a list of references.
+REFERENCES_LINE = "(?i)^(?:references|bibliography|literature cited|参考文献|引用文献|文献)$"
+
+
+def reference_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, o, line): the lines of each document from its references heading on, or all if it begins with it."""
+    lines = F.split(F.col(text), "\\r?\\n")
+    heads = F.transform(lines, lambda x, i: F.trim(x).rlike(REFERENCES_LINE) | ((i == 0) & x.startswith("References")))
+    some = docs.where(F.col(text).isNotNull()).select(doc, F.array_position(heads, F.lit(True)).alias("_at"), F.posexplode(lines).alias("o", "line"))
+    return some.where((F.col("_at") > 0) & (F.col("o") + 1 >= F.col("_at"))).drop("_at")
+
+
 def outlines(headings: DataFrame, doc: str, order: str, canonical: str) -> DataFrame:
     """(outline, n, example): sequences of canonical headings, how often, and the first document."""
     seq = headings.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(canonical).alias("c")))).alias("h"))

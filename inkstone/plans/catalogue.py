@@ -482,6 +482,18 @@ def reference_entries_islands(spark: SparkSession, d: str) -> DataFrame:
     return documents.reference_islands(lines, "doc_id", "o", "line")
 
 
+@query(
+    f"""WITH l AS (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS s, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS o, starts_with(text, 'References') AS at_once FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, min(o) AS first FROM l WHERE regexp_matches(s, {_q(documents.REFERENCES_LINE)}) OR o = 0 AND at_once GROUP BY doc_id),
+b AS (SELECT doc_id, s, o, (regexp_matches(s, '^(?:\\[\\d{{1,3}}\\]|\\d{{1,3}}[.)])\\s') OR (regexp_matches(s, '^[\\p{{Lu}}\\x{{4e00}}-\\x{{9fff}}][\\p{{L}}’''-]*[,，.(（ ]') AND regexp_matches(substring(s, 1, 220), '(?:18|19|20)\\d{{2}}')))::INT AS begins FROM l JOIN f USING (doc_id) WHERE o >= first AND s <> ''),
+e AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY o) AS entry FROM b)
+SELECT doc_id, entry::INT AS entry, string_agg(s, ' ' ORDER BY o) AS reference FROM e WHERE entry > 0 GROUP BY doc_id, entry"""
+)
+def reference_entries_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Reference entries of every document with a references heading, wherever it stands."""
+    return documents.reference_islands(documents.reference_lines(read(spark, d, "documents"), "doc_id", "text"), "doc_id", "o", "line")
+
+
 @query(f"SELECT t.sentence_id, count(*) AS bigrams, count(*) FILTER (l.bigram IS NULL) AS unseen, CASE WHEN count(*) FILTER (l.bigram IS NULL) >= 4 AND count(*) FILTER (l.bigram IS NULL) >= 0.33 * count(*) THEN 'warning' ELSE 'info' END AS severity FROM (SELECT sentence_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i+1])) AS bigram FROM (SELECT sentence_id, {_ASCII.replace('text', 'sentence')} AS w FROM {_DIST})) t LEFT JOIN (SELECT DISTINCT bigram FROM {_big(_LIB)}) l USING (bigram) GROUP BY t.sentence_id HAVING count(*) >= 8 AND count(*) FILTER (l.bigram IS NULL) >= 3 AND count(*) FILTER (l.bigram IS NULL) >= 0.25 * count(*)")
 def uncommon_phrasing(spark: SparkSession, d: str) -> DataFrame:
     pairs = _sentences(spark, d).select("sentence_id", F.explode(T.bigrams(T.ascii_words(F.col("sentence")))).alias("bigram"))

@@ -19,6 +19,14 @@ def test_reference_islands(spark):
     assert got == [(1, "[1] Roe, J. 2001. A title that goes on."), (2, "Poe, K. (1999). Another.")]
 
 
+def test_reference_lists_inside_documents(spark):
+    entries = "[1] Roe, J. 2001. A title\nthat goes on.\nPoe, K. (1999). Another."
+    texts = {"a": f"Smith, A. 2000. No entry.\n\n References \n{entries}", "b": f"References\n{entries}", "c": f"Body.\r\n参考文献\r\n{entries}", "d": "Roe, J. 2001. No list here.", "e": None}
+    df = spark.createDataFrame(list(texts.items()), "doc string, text string")
+    got = {tuple(r) for r in documents.reference_islands(documents.reference_lines(df, "doc", "text"), "doc", "o", "line").collect()}
+    assert got == {(d, i + 1, x) for d in "abc" for i, x in enumerate(["[1] Roe, J. 2001. A title that goes on.", "Poe, K. (1999). Another."])}
+
+
 def test_scaffold_and_headings(spark):
     df = spark.createDataFrame([("In this paper, we study rivers.",), ("Rivers are long and quiet and deep.",)], "s string")
     assert [r[0] for r in df.select(documents.scaffold(F.col("s"))).collect()] == ["In this paper,", "Rivers are long and quiet and"]
