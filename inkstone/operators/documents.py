@@ -52,9 +52,23 @@ HEADINGS = [
 ]
 
 
+#: What numbers a heading.
+HEADING_PREFIX = "^\\s*(?:\\d+(?:\\.\\d+)*[.)]?|[一二三四五六七八九十]+[、.．)）]|[（(][一二三四五六七八九十]+[)）]|第[一二三四五六七八九十0-9]+[章节篇])\\s*"
+#: Lines that are headings by their numbering, and the names of sections that need none.
+NUMBERED = "^(?:\\d+(?:\\.\\d+)* \\p{L}|[一二三四五六七八九十]+[、.．)）]\\s*\\S|[（(][一二三四五六七八九十]+[)）]\\s*\\S)"
+SECTION_EN = "(?i)^(?:abstract|introduction|background|motivation|related work|literature review|data|methods?|methodology|empirical strategy|model|results|discussion|conclusions?|references|acknowledge?ments|appendix|appendices|keywords|jel classification)[\\s:：。！？；.!?]*$"
+SECTION_ZH = "^(?:中文摘要|英文摘要|摘要|引言|前言|绪论|结论|总结|参考文献|附录|致谢|关键词|文献综述|相关工作|研究背景|研究设计|研究方法|方法|模型|数据|样本|变量|结果|讨论|实证结果)"
+
+
+def heading_like(line: Column) -> Column:
+    """A short line with a number (Western or Chinese), or the name of a section."""
+    base = F.regexp_replace(line, HEADING_PREFIX, "")
+    return (F.length(line) <= 60) & (line.rlike(NUMBERED) | base.rlike(SECTION_EN) | (base.rlike(SECTION_ZH) & (F.length(base) <= 12)))
+
+
 def canonical(heading: Column) -> Column:
     """The class of a heading, ``other`` if none fits."""
-    base = F.lower(F.trim(F.regexp_replace(heading, "^\\s*(?:\\d+(?:\\.\\d+)*[.)]?|[一二三四五六七八九十]+[、.．]|（[一二三四五六七八九十]+）)\\s*", "")))
+    base = F.lower(F.trim(F.regexp_replace(heading, HEADING_PREFIX, "")))
     return F.coalesce(*[F.when(base.rlike(p), F.lit(n)) for n, p in HEADINGS], F.lit("other"))
 
 

@@ -452,6 +452,33 @@ def outline_counts(spark: SparkSession, d: str) -> DataFrame:
     return documents.outlines(heading_canonical(spark, d), "doc_id", "line_no", "canonical")
 
 
+_LIKE_BASE = f"regexp_replace(heading, {_q(documents.HEADING_PREFIX)}, '')"
+_LIKE = f"(SELECT doc_id, line_no, heading FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS heading, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) WHERE length(heading) <= 60 AND (regexp_matches(heading, {_q(documents.NUMBERED)}) OR regexp_matches({_LIKE_BASE}, {_q(documents.SECTION_EN)}) OR regexp_matches({_LIKE_BASE}, {_q(documents.SECTION_ZH)}) AND length({_LIKE_BASE}) <= 12))"
+_LIKE_NUMBER = "regexp_extract(heading, '^(\\d+(?:\\.\\d+){0,6})(?:[^\\d\\p{L}_]|$)', 1)"
+_LIKE_ALL = f"(SELECT doc_id, line_no, heading, CASE WHEN n <> '' THEN least(6, length(n) - length(replace(n, '.', '')) + 1) WHEN regexp_matches(heading, '^[（(][一二三四五六七八九十]+[)）]') THEN 2 ELSE 1 END::INT AS level, {_CANON} AS canonical FROM (SELECT *, {_LIKE_NUMBER} AS n, lower(trim({_LIKE_BASE})) AS base FROM {_LIKE}))"
+
+
+def _all_headings(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\\r?\\n")).alias("line_no", "line")).select("doc_id", "line_no", F.trim("line").alias("heading"))
+    return lines.where(documents.heading_like(F.col("heading")))
+
+
+@query(f"SELECT doc_id, line_no::INT AS line_no, heading, level, canonical FROM {_LIKE_ALL}")
+def headings_all(spark: SparkSession, d: str) -> DataFrame:
+    """Level and class of every heading, numbered in either way or named."""
+    return _all_headings(spark, d).select("doc_id", "line_no", "heading", T.heading_level(F.col("heading")).alias("level"), documents.canonical(F.col("heading")).alias("canonical"))
+
+
+@query(f"WITH h AS {_LIKE_ALL} SELECT a.doc_id, a.line_no::INT AS line_no, max(b.line_no)::INT AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY a.doc_id, a.line_no")
+def section_parent_all(spark: SparkSession, d: str) -> DataFrame:
+    return structure.parents(headings_all(spark, d), "doc_id", "line_no", "level", "line_no").select("doc_id", "line_no", "parent")
+
+
+@query(f"SELECT outline, count(*) AS n, min(doc_id) AS example FROM (SELECT doc_id, string_agg(canonical, ' > ' ORDER BY line_no) FILTER (r <= 18) AS outline FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM {_LIKE_ALL}) GROUP BY doc_id) GROUP BY outline")
+def outline_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    return documents.outlines(headings_all(spark, d), "doc_id", "line_no", "canonical")
+
+
 @query("SELECT sentence_id, list_aggregate(list_transform(regexp_extract_all(sentence, '[A-Z][A-Za-z''’-]+(?: et al\\.)? ?[(（](?:18|19|20)[0-9]{2}[a-z]?[)）]'), lambda x: regexp_replace(x, ' ?[(（]((?:18|19|20)[0-9]{2}[a-z]?)[)）]$', '|\\1')), 'string_agg', ';') AS cites FROM " + _DIST + " WHERE regexp_matches(sentence, '[A-Z][A-Za-z''’-]+(?: et al\\.)? ?[(（](?:18|19|20)[0-9]{2}[a-z]?[)）]')")
 def narrative_citations(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(spark, d).select("sentence_id", documents.narrative_citations(F.col("sentence")).alias("c")).where(F.size("c") > 0).select("sentence_id", F.array_join("c", ";").alias("cites"))

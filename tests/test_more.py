@@ -8,6 +8,7 @@ from inkstone.api import PROFILES, Engine
 from inkstone.functions import prose
 from inkstone.operators import coverage as cov
 from inkstone.operators import documents, review
+from inkstone.plans import catalogue
 from inkstone.sources import records
 from inkstone.streaming import coverage as stream
 
@@ -34,6 +35,15 @@ def test_scaffold_and_headings(spark):
     assert [r[0] for r in heads.select(documents.canonical(F.col("s"))).collect()] == ["data", "introduction", "related_work", "other"]
 
 
+def test_headings_of_all_kinds(spark, tmp_path):
+    lines = ["一、引言", "（一）研究背景", "2 Data", "2.1 Towns of the north", "plain text that is no heading.", "Conclusion", "第三章 结论", "References", "The results of this are long and no name of a section."]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.line_no, r.level, r.canonical) for r in catalogue.headings_all(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == [(0, 1, "introduction"), (1, 2, "other"), (2, 1, "data"), (3, 2, "other"), (5, 1, "conclusion"), (6, 1, "conclusion"), (7, 1, "references")]
+    assert {r.line_no: r.parent for r in catalogue.section_parent_all(spark, str(tmp_path)).collect()} == {0: None, 1: 0, 2: None, 3: 2, 5: None, 6: None, 7: None}
+    assert catalogue.outline_counts_all(spark, str(tmp_path)).first().outline.endswith("conclusion > references")
+
+
 def test_files_and_syntax(spark):
     cites = spark.createDataFrame([(1, "roe", "2001"), (2, "poe", "1999")], "cite long, name string, y string")
     files = spark.createDataFrame([("b/Roe_2001_rivers.pdf",), ("a/roe-2001.pdf",), ("a/poe_2000.pdf",)], "pdf string")
