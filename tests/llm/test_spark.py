@@ -71,6 +71,13 @@ def test_matching(spark):
     assert linking.match_works(items.limit(0), refs).count() == 0
 
 
+def test_shortened_titles_meet_by_near_names_and_the_text(spark):
+    short = "How quiet rivers shape"
+    items = spark.createDataFrame([(1, "Foobaringtn, J.", "2001", short, None), (2, "Smithsonberg, C.", "1997", "The late trade of", None)], "item_id long, cited_author string, cited_year string, ref_title string, matched_pdf string")
+    refs = spark.createDataFrame([(7, "Foobarington, J. (2001). How quiet rivers shape the loud valleys and the old harbours of northern Foobaria before the reform of tariffs. Ann. Quiet, 4(2), 1-9.", "Foobarington, J.", "2001"), (8, "Smithsonberg, C. (1997). The late trade of salt and timber between inland councils, coastal guilds and the wandering merchants of Bazland. 1997.", None, None)], "ref_id long, reference string, authors string, pub_year string")
+    assert rows(linking.match_works(items, refs).select("item_id", "ref_id")) == [(1, 7), (2, 8)]
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "word " * (10 + i % 7), "a" if i % 3 else "b") for i in range(300)] + [(900, None, "a"), (901, "", "b"), (902, "x", None)], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3), ("c", 0.0, None)], "source string, target_share double, max_repeats int")
