@@ -71,9 +71,10 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
-    """Each key once, with the columns of its latest delivery (ties: the largest values by hash)."""
+    """Each key once, with the columns of its latest delivery (ties, and without a time: the largest by hash)."""
     row = F.struct(*columns)
-    return df.groupBy(key).agg(F.max_by(row, F.struct(F.col(at), F.xxhash64(row))).alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in columns])
+    time = [F.col(at)] if at in df.columns else []
+    return df.groupBy(key).agg(F.max_by(row, F.struct(*time, F.xxhash64(row))).alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in columns])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
