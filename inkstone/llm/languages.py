@@ -1,31 +1,38 @@
 """The language of texts, and of the segments of mixed texts, with a confidence (problem 3).
 
 Compression classification: each language has a zstandard dictionary of raw content made of
-sentences in it.  A piece of text is compressed with the dictionary of every language that
-its script allows, and the smallest result names the language.  Where the second smallest is
-too near, the piece is rejected and goes with its neighbour.  Pieces are whole sentences and
-quotations; citations in brackets are left out.  Neighbouring pieces of one language are one
-segment; a text with segments in more than one language is ``mixed``.
+sentences in it.  A piece of text is compressed with the dictionary of every language that is
+written in its script and without any; the smallest result names the language.  Where the
+second smallest is too near, the piece is rejected and goes with its neighbour.  Where a
+script has one language only, its dictionary has to save a share of the size without any
+(measured against what its own sentences save) and to have nearly all letters of the piece,
+else the piece is in another language and rejected.  Pieces are whole sentences and quotations; citations in brackets are left out.
+Neighbouring pieces of one language are one segment; a text with segments in more than one
+language is ``mixed``.  A text whose pieces are all too short is judged as a whole, however
+short, with the confidence that its margin gives.
 
 The dictionaries are fitted on a bounded sample of labelled rows (``SAMPLE`` a language, those
 with the smallest hashes) then again, ``ROUNDS`` times, on those whose label the
 dictionaries of the other half of the sample confirm, so that wrong labels do not stay in.
 
 Defined results: null, empty and letterless texts have no language (null, confidence 0, no
-segments); a tie in size is a rejection; repeated records give the same; very long texts are
-read whole; an empty table gives an empty table; extra columns are not looked at.
+segments), and so has a text that is rejected as a whole; a tie in size is a rejection;
+repeated records give the same; very long texts are read whole; an empty table gives an empty
+table; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkstone.session import latest, materialize
+
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "ru", "ja")
 #: Labelled sentences per language that the dictionaries are fitted on, and their size.
 SAMPLE = 800
@@ -36,8 +43,15 @@ LEVEL = 19
 MARGIN_SHARE, MARGIN_BYTES = 0.02, 1
 #: Letters (a Han or Kana character counts three) below which a piece goes with its neighbour.
 LEAST_LETTERS = 20
-
-_BRACKET = re.compile(r"\([^()（）]{1,240}[)）]|（[^()（）]{1,240}[)）]")
+#: The only language of its script has to save this share of what its own sentences save on average.
+SAVED_SHARE = 0.05
+#: ... and at most this share of a piece's letters may be strange to its dictionary.
+STRANGE_SHARE = 0.02
+#: The languages of each script, and the name of the size without a dictionary.
+SCRIPTS = {"east": ("ja", "zh"), "cyrillic": ("ru",), "latin": ("en", "de", "fr", "es", "pt")}
+PLAIN = "-"
+
+_BRACKET = re.compile(r"[(（][^()（）]+[)）]")
 _QUOTE = re.compile(r"“[^“”]+”|\"[^\"]+\"|「[^「」]+」|『[^『』]+』|„[^„“”]+[“”]|«[^«»]+»|‘[^‘’]{20,}’")
 _END = re.compile(r"(?<![\W_]\w)(?<!Dr)(?<!Prof)[.!?]+[\"”»’)\]]*\s+(?=\S)|[。！？]+[”」』）\"]*\s*|…{2,}\s*|\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,37 +80,60 @@ def content(s: str) -> tuple[str, tuple[str, ...]]:
     west = sum(len(w) for w in small if not _CYRILLIC.match(w))
     cyr = sum(len(w) for w in small if _CYRILLIC.match(w))
     if east and 3 * len(east) >= max(west, cyr):
-        return "".join(east), ("ja", "zh") if len(_KANA.findall(s)) * 20 >= len(east) else ("zh",)
+        return "".join(east), SCRIPTS["east"]
     if cyr > west:
-        return " ".join(w for w in small if _CYRILLIC.match(w)), ("ru",)
-    return " ".join(w for w in small if not _CYRILLIC.match(w)), ("en", "de", "fr", "es", "pt")
+        return " ".join(w for w in small if _CYRILLIC.match(w)), SCRIPTS["cyrillic"]
+    return " ".join(w for w in small if not _CYRILLIC.match(w)), SCRIPTS["latin"]
+
+
+def _compressor(raw: bytes, level: int) -> Callable[[bytes], bytes]:
+    """Compression with a dictionary of raw content, or without any if there is none."""
+    import zstandard as z
+
+    shape = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    if not raw:
+        return z.ZstdCompressor(level=level, **shape).compress
+    d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return z.ZstdCompressor(dict_data=d, **shape).compress
 
 
 class Classifier:
     """Chooses the language with the smallest compressed size."""
 
     def __init__(self, contents: dict[str, bytes], level: int = LEVEL):
-        import zstandard as z
-
-        self.compress = {}
-        for lang, raw in contents.items():
-            d = z.ZstdCompressionDict(raw or b" " * 16, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compress[lang] = z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-    def piece(self, s: str) -> tuple[str | None, float]:
-        """Language and confidence of a piece; None if the margin is narrow."""
+        self.compress = {PLAIN: _compressor(b"", level)} | {lang: _compressor(raw, level) for lang, raw in contents.items()}
+        alone = {s[0] for s in SCRIPTS.values() if len(s) == 1}
+        self.saves = {lang: self._saving(raw, level) for lang, raw in contents.items() if lang in alone}
+        self.alphabet = {lang: set(contents[lang].decode("utf-8", "ignore").lower()) for lang in self.saves}
+
+    def _saving(self, raw: bytes, level: int) -> float:
+        """The share of size that one half of a dictionary's sentences saves with the other half."""
+        lines = [x.encode() for x in raw.decode("utf-8", "ignore").split("\n") if x]
+        half = _compressor(b"\n".join(lines[0::2]), level)
+        plain = sum(len(self.compress[PLAIN](x)) for x in lines[1::2])
+        return 1 - sum(len(half(x)) for x in lines[1::2]) / plain if plain else 0.0
+
+    def piece(self, s: str, least: int = LEAST_LETTERS) -> tuple[str | None, float]:
+        """Language and confidence of a piece; None if the margin is narrow or it is in no known language."""
         said, scripts = content(s)
         some = [x for x in scripts if x in self.compress]
-        if not some or letters(said) < LEAST_LETTERS:
+        if not some or letters(said) < least:
             return None, 0.0
         raw = said.encode()
-        if len(some) == 1:
-            return some[0], 0.99
         sizes = sorted((len(self.compress[x](raw)), x) for x in some)
-        (best, lang), (second, _) = sizes[0], sizes[1]
-        gap = second - best
+        best, lang = sizes[0]
+        if len(scripts) == 1:
+            saved, wanted = 1 - best / len(self.compress[PLAIN](raw)), SAVED_SHARE * self.saves[lang]
+            strange = sum(c not in self.alphabet[lang] for c in said.lower())
+            if saved < max(wanted, 1e-9) or strange > STRANGE_SHARE * len(said):
+                return None, 0.5
+            return lang, min(0.99, 0.5 + 0.5 * saved / self.saves[lang])
+        gap = (sizes[1][0] if len(sizes) > 1 else len(self.compress[PLAIN](raw))) - best
         if gap < MARGIN_BYTES or gap < MARGIN_SHARE * best:
+            # of a whole text without any Kana a narrow margin between the eastern languages is decided by that
+            if least == 1 and scripts == SCRIPTS["east"]:
+                return ("ja" if _KANA.search(said) else "zh"), 0.5
             return None, 0.5
         return lang, 1.0 - 0.5 ** (1.0 + gap / 4.0)
 
@@ -113,9 +150,9 @@ class Classifier:
             lang, sure = self.piece(part)
             found.append([a, b, lang, sure])
         if not any(f[2] for f in found):
-            lang, sure = self.piece(shown)
+            lang, sure = self.piece(shown, 1)
             if lang is None:
-                lang, sure = self.piece(text)
+                lang, sure = self.piece(text, 1)
             return (lang, sure, [(0, len(text), lang, sure)]) if lang else (None, 0.0, [])
         known = [f for f in found if f[2]]
         out: list[list] = []
@@ -152,9 +189,18 @@ def _contents(rows: list[tuple[str, str]]) -> dict[str, bytes]:
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> dict[str, bytes]:
     """Dictionaries of raw content per language from at most ``sample`` labelled texts each."""
-    order = W.partitionBy(lang).orderBy(F.xxhash64(text), F.col(text))
-    some = labelled.where(F.col(lang).isin(*LANGUAGES) & (F.length(text) > 30)).select(lang, text).distinct()
-    some = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
+    usable = F.col(lang).isin(*LANGUAGES) & (F.length(text) > 30)
+    known = labelled.where(usable).select(lang, text)
+    # the smallest hashes of a language are surely among those below a threshold of four times their expected share
+    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
+    span = {r[0]: min(1.0, 4.0 * sample / r[1]) for r in counts}
+    if not span:
+        return {}
+    below = F.create_map(*[F.lit(x) for k, v in sorted(span.items()) for x in (k, int(v * (1 << 62)))])
+    hashed = F.col("_h").bitwiseAND(F.lit((1 << 62) - 1))
+    few = known.withColumn("_h", F.xxhash64(text)).where(hashed <= F.try_element_at(below, F.col(lang)))
+    order = W.partitionBy(lang).orderBy("_h", text)
+    some = few.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
     rows = [(r[0], r[1]) for r in some.select(lang, text).collect()]  # bounded: languages times sample
     if not rows:
         return {}
@@ -171,8 +217,8 @@ def confirmed(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> list[tuple[s
     return halves[0] + halves[1]
 
 
-def detect(records: DataFrame, key: str, text: str, contents: dict[str, bytes]) -> DataFrame:
-    """``(key, lang, confidence, segments array<struct<seg_no, lang, confidence, start_pos, end_pos>>)``."""
+def detect(records: DataFrame, key: str, text: str, contents: dict[str, bytes], *kept: str) -> DataFrame:
+    """``(key, *kept, lang, confidence, segments array<struct<seg_no, lang, confidence, start_pos, end_pos>>)``."""
     kind = records.schema[key].dataType.simpleString()
     seg = pa.list_(pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("start_pos", pa.int32()), ("end_pos", pa.int32())]))
 
@@ -180,15 +226,19 @@ def detect(records: DataFrame, key: str, text: str, contents: dict[str, bytes])
         model = Classifier(contents)
         for batch in batches:
             langs, sure, segs = [], [], []
+            seen: dict[str | None, tuple] = {}
             for t in batch.column(1).to_pylist():
-                a, b, s = model.text(t)
+                if t not in seen:
+                    seen[t] = model.text(t)
+                a, b, s = seen[t]
                 langs.append(a)
                 sure.append(b)
                 segs.append([{"seg_no": i, "lang": x[2], "confidence": x[3], "start_pos": x[0] + 1, "end_pos": x[1]} for i, x in enumerate(s, 1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(segs, seg)], ["key", "lang", "confidence", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(segs, seg)], ["key", *kept, "lang", "confidence", "segments"])
 
-    some = records.select(F.col(key).alias("key"), F.col(text).alias("_text"))
-    out = some.mapInArrow(run, f"key {kind}, lang string, confidence double, segments array<struct<seg_no:int,lang:string,confidence:double,start_pos:int,end_pos:int>>")
+    some = records.select(F.col(key).alias("key"), F.col(text).alias("_text"), *kept)
+    also = "".join(f"{c} {records.schema[c].dataType.simpleString()}, " for c in kept)
+    out = some.mapInArrow(run, f"key {kind}, {also}lang string, confidence double, segments array<struct<seg_no:int,lang:string,confidence:double,start_pos:int,end_pos:int>>")
     return out.withColumnRenamed("key", key)
 
 
@@ -201,13 +251,13 @@ def label_language(label: Column, known: dict[str, str]) -> Column:
 def polished_languages(results: DataFrame, sentences: DataFrame, labels: DataFrame) -> DataFrame:
     """Each polish result once with its label's language, the right one, confidence and segments."""
     known = {r[0]: r[1] for r in labels.select("label", "lang").collect()}  # a fixed small table
-    once = results.groupBy("result_id").agg(F.first("sentence_id").alias("sentence_id"), F.first("language_label").alias("language_label"))
-    once = once.withColumn("label_lang", label_language(F.col("language_label"), known))
-    texts = sentences.select("sentence_id", F.col("sentence").alias("text")).join(results.select("sentence_id"), "sentence_id", "left_semi").dropDuplicates(["sentence_id"])
-    sample = results.select("sentence_id", "language_label").withColumn("lang", label_language(F.col("language_label"), known))
-    contents = fit(sample.join(sentences.select("sentence_id", F.col("sentence").alias("text")), "sentence_id"))
-    found = detect(texts, "sentence_id", "text", contents)
-    return once.join(found, "sentence_id")
+    once = latest(results, "result_id", "created_at", "sentence_id", "language_label").withColumn("label_lang", label_language(F.col("language_label"), known))
+    texts = latest(sentences, "sentence_id", "received_at", "sentence")
+    # a sentence may be polished many times: AQE splits such a key, and its rows are judged where they are
+    both = materialize(once.join(texts, "sentence_id"), "polished")
+    contents = fit(both, "label_lang", "sentence")
+    found = detect(both, "result_id", "sentence", contents, "sentence_id", "language_label", "label_lang")
+    return found
 
 
 def language_findings(polished: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Mixing sources to target weights, measured in tokens (problem 8).
 
-The mixture has a wanted size; each source gets its target share of it.  A source that has
-fewer tokens is used several times, at most ``max_repeats`` times, and what it still lacks
-goes to the other sources in proportion to their targets.  A document of a source that is
+The mixture has a wanted size; each source gets its target share of it.  Without a wanted
+size it is the largest at which every source that has documents keeps its share (what a
+source without any documents lacks goes to all others in proportion).  A source that has
+fewer tokens is used several times, at most ``max_repeats`` times; with a larger wanted size
+what it still lacks goes to the other sources in proportion to their targets.  A document of a source that is
 used r times on average is taken floor(r) times for certain and once more with probability
 r - floor(r).  Which documents are taken once more is drawn by the cube method: inside blocks
 of a source the vector of probabilities moves in the null space of the constraints (tokens
 and documents) until all but a few entries are 0 or 1; what is left of all blocks moves on
 through fewer blocks, and the last few are rounded (landing) so that the token total is
-met as nearly as possible.
+met as nearly as possible.  Units are taken by falling size, so the last open ones are small.
 
 Defined results: documents of null or unlisted sources, and null and empty texts (0 tokens),
 are not taken; sources without documents reach 0; a target share of 0 or a limit of 0 takes
@@ -30,6 +32,8 @@ from inkstone.session import materialize
 BLOCK = 4000
 #: Probabilities this close to 0 or 1 are 0 or 1.
 EPS = 1e-9
+#: Open units whose every choice is tried at the landing.
+TRIED = 12
 
 
 def flight(pi: np.ndarray, x: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -79,14 +83,20 @@ def landing(pi: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     if not len(open_):
         return np.round(out)
     want = float((out[open_] * tokens[open_]).sum())
+    open_ = open_[np.argsort(-tokens[open_], kind="stable")]
+    # all but the smallest are taken while they fit, then every choice of the smallest is tried
+    for k in open_[:-TRIED] if len(open_) > TRIED else ():
+        out[k] = float(tokens[k] <= want)
+        want -= out[k] * float(tokens[k])
+    open_ = open_[-TRIED:]
     best, pick = None, 0
-    for mask in range(1 << min(len(open_), 12)):
-        got = sum(float(tokens[k]) for i, k in enumerate(open_[:12]) if mask >> i & 1)
+    for mask in range(1 << len(open_)):
+        got = sum(float(tokens[k]) for i, k in enumerate(open_) if mask >> i & 1)
         key = (abs(got - want), bin(mask).count("1"))
         if best is None or key < best:
             best, pick = key, mask
     for i, k in enumerate(open_):
-        out[k] = 1.0 if i < 12 and pick >> i & 1 else 0.0
+        out[k] = float(pick >> i & 1)
     return np.round(out)
 
 
@@ -113,11 +123,19 @@ def plan(totals: list[tuple[str, int]], targets: list[tuple[str, float, int | No
     return {s: (got[s] / have[s] if have.get(s) else 0.0, got[s]) for s in share}
 
 
+def largest_size(totals: list[tuple[str, int]], targets: list[tuple[str, float, int | None]]) -> float:
+    """The most tokens of which every source that has any can have its share."""
+    have = dict(totals)
+    most = {s: (w, (1 if m is None else max(0, m)) * have.get(s, 0)) for s, w, m in targets if w and w > 0}
+    usable = {s: x for s, x in most.items() if x[1] > 0}
+    return sum(w for w, _ in usable.values()) * min((t / w for w, t in usable.values()), default=0.0)
+
+
 def _flight_blocks(rows: DataFrame, last: bool) -> DataFrame:
     """Flight inside the groups (source, block); on the last level the rest is landed."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("salt", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("tokens", "descending"), ("salt", "ascending"), ("doc_id", "ascending")])
         pi = np.array(table.column("pi").to_pylist(), float)
         tokens = np.array(table.column("tokens").to_pylist(), float)
         scale = tokens.mean() or 1.0
@@ -130,12 +148,13 @@ def _flight_blocks(rows: DataFrame, last: bool) -> DataFrame:
 
 
 def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, vocabulary: str = tokenize.BYTE_BPE_50K, folder: str = tokenize.TOKENIZER_DIR) -> DataFrame:
-    """One row per taken document: ``doc_id, source, tokens, copies``."""
+    """One row per taken document: ``doc_id, source, tokens, copies``; without a ``size`` the largest that meets every share."""
     wanted = [(r[0], r[1], r[2]) for r in targets.select("source", "target_share", "max_repeats").collect()]  # a fixed small table
     known = documents.where(F.col("source").isin(*[s for s, _, _ in wanted])) if wanted else documents.limit(0)
     counted = materialize(tokenize.count_tokens(known, ["doc_id", "source"], vocabulary=vocabulary, folder=folder).where(F.col("tokens") > 0), "tokens")
     stats = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()  # one row per source
-    uses = plan([(r["source"], r["tokens"]) for r in stats], wanted, size)
+    totals = [(r["source"], r["tokens"]) for r in stats]
+    uses = plan(totals, wanted, largest_size(totals, wanted) if size is None else size)
     rate = F.create_map(*[F.lit(x) for s, (u, _) in sorted(uses.items()) for x in (s, float(u))]) if uses else F.create_map(F.lit(""), F.lit(0.0))
     drawn = counted.withColumn("_u", F.coalesce(F.try_element_at(rate, F.col("source")), F.lit(0.0)))
     drawn = drawn.withColumn("sure", F.floor("_u").cast("int")).withColumn("pi", F.col("_u") - F.floor("_u")).drop("_u")

@@ -17,10 +17,16 @@ texts of one size overlap, in many dimensions every box does (see README for fig
 pairs of a block are candidates; a block of more than ``PAIRED`` different texts is searched
 whole with a tree over its points.
 
+Hot blocks: a key that more than ``PAIRED`` texts of one batch share is known to be full before
+the shuffle, so its rows are spread over all tasks at once and only one row of the batch goes
+to the task of the key, to tell it; no task reads more than ``PAIRED`` rows of a batch for one
+key.
+
 Defined results: null, empty and blank texts are no cases; a text of fewer than five
 characters is similar only to an equal one; equal texts have similarity 1 and form a class,
 which is treated as one text and expanded at the end (every pair up to ``ALL_PAIRS`` members,
-else each member with the first one); records delivered twice count once; very long texts
+else each member with the first one; of two similar classes every pair up to ``ALL_PAIRS``
+squared, else each member with the first one of the other class); records delivered twice count once; very long texts
 are used whole; an empty table gives no pairs; extra columns are not looked at.
 """
 
@@ -30,6 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +53,8 @@ PAIRED = 64
 #: Minima of a sketch, and how many of them may differ in their two bits: at a similarity of 0.7 the mean is 28.8, the deviation 4.7.
 SKETCH, SKETCH_FAR = 128, 52
 ALL_PAIRS = 200
+#: What stands in the place of a sketch, or behind it: a row of a block known to be full, and the row that tells its task.
+_FULL, _TELL = b"!", b"!!"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -289,7 +298,7 @@ def _block_rows(records: DataFrame) -> DataFrame:
     """(key, h, sketch): a row for each band of each text; the first one has the sketch.
 
     Copies of a text that one task meets give their keys once, so that a text that a third
-    of all records repeat fills no block.
+    of all records repeat fills no block.  Rows of keys that are full within a batch are marked.
     """
     import xxhash
 
@@ -305,30 +314,56 @@ def _block_rows(records: DataFrame) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             salts = {n: np.int64(xxhash.xxh3_64_intdigest(n) - (1 << 63)) for n in {f[0] for f in fresh}}
+            parts = []
             for lo, hi in _slices([t for _, t, _ in fresh]):
                 part = fresh[lo:hi]
                 doc, least = minima([t for _, t, _ in part], HASHES)
                 keys = band_keys(least)
                 keys ^= np.array([salts[n] for n, _, _ in part], np.int64)[doc][:, None]
-                hs = np.repeat(np.array([h for _, _, h in part], np.int64)[doc], BANDS)
-                shown: list[bytes | None] = [None] * len(hs)
-                shown[::BANDS] = [row.tobytes() for row in sketches(least)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(hs), pa.array(shown, pa.binary())], ["key", "h", "sketch"])
+                parts.append((keys, np.array([h for _, _, h in part], np.int64)[doc], sketches(least)))
+            if not parts:
+                continue
+            keys, hs, words = (np.concatenate(c) for c in zip(*parts))
+            known, times = np.unique(keys, return_counts=True)
+            known = known[times > PAIRED]
+            marked = np.isin(keys, known) if len(known) else None
+            for lo in range(0, len(hs), 1000):
+                k, h = keys[lo : lo + 1000], hs[lo : lo + 1000]
+                shown: list[bytes | None] = [None] * k.size
+                shown[::BANDS] = [row.tobytes() for row in words[lo : lo + 1000]]
+                if marked is not None:
+                    for i in np.flatnonzero(marked[lo : lo + 1000].ravel()).tolist():
+                        shown[i] = (shown[i] or b"") + _FULL
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(h, BANDS)), pa.array(shown, pa.binary())], ["key", "h", "sketch"])
+            if len(known):
+                flat = keys.ravel()
+                order = np.argsort(flat, kind="stable")
+                at = order[np.searchsorted(flat, known, sorter=order)]
+                yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(hs[at // BANDS]), pa.array([_TELL] * len(known), pa.binary())], ["key", "h", "sketch"])
 
     return records.mapInArrow(run, "key bigint, h bigint, sketch binary")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a key in one partition, but marked ones anywhere; sorted by key."""
+    away = F.octet_length("sketch") % 2 == 1  # a sketch has an even length, as has what tells a task
+    return rows.repartition(F.when(away, F.col("h")).otherwise(F.col("key"))).sortWithinPartitions("key")
+
+
 def _block_pairs(rows: DataFrame) -> DataFrame:
     """All pairs (a, b) of blocks of 2 to PAIRED rows; of fuller blocks every row (key, h); sketches (h, s0 to s3).
 
-    ``rows`` are sorted by key.  A block is never held: beyond PAIRED rows they are passed on.
+    ``rows`` are sorted by key.  A block is never held: beyond PAIRED rows they are passed on,
+    and so are the rows of a block with a mark.
     """
     names = ["key", "h", "a", "b", *_WORDS]
+    size = 8 * len(_WORDS)
 
-    def out(k: np.ndarray, h: np.ndarray, known: list[int]) -> pa.RecordBatch:
+    def out(k: np.ndarray, h: np.ndarray, m: np.ndarray, known: list[int]) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(k)))
-        full = np.repeat(count > PAIRED, count) | np.isin(k, known)
+        told = np.logical_or.reduceat(m, first) if len(k) else np.zeros(0, bool)
+        full = np.repeat((count > PAIRED) | told, count) | np.isin(k, known)
         some = ~full & np.repeat(count > 1, count)
         kf, hf, k, h = k[full], h[full], k[some], h[some]
         order = np.lexsort((h, k))
@@ -349,27 +384,29 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols] + [pa.nulls(len(a) + len(kf), pa.int64())] * len(_WORDS), names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = [np.zeros(0, np.int64)] * 2
+        keep = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
         passing: int | None = None  # the key of a block that is known to be full
         for batch in batches:
             k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shown = batch.column(2).drop_null()
-            if len(shown):
-                words = np.frombuffer(b"".join(shown.to_pylist()), np.int64).reshape(-1, len(_WORDS))
-                none = pa.nulls(len(shown), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(h[batch.column(2).is_valid().to_numpy(zero_copy_only=False)]), none, none, *(pa.array(w) for w in words.T)], names)
-            k, h = np.concatenate([keep[0], k]), np.concatenate([keep[1], h])
+            long = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+            m = (long > 0) & (long != size)
+            if (has := np.flatnonzero(long >= size)).size:
+                raw = b"".join(x[:size] for x in batch.column(2).take(pa.array(has)).to_pylist())
+                words = np.frombuffer(raw, np.int64).reshape(-1, len(_WORDS))
+                none = pa.nulls(len(has), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(h[has]), none, none, *(pa.array(w) for w in words.T)], names)
+            k, h, m = (np.concatenate(c) for c in zip(keep, (k, h, m)))
             if not len(k):
                 continue
             known = [] if passing is None else [passing]
             last = int(np.searchsorted(k, k[-1]))
-            if len(k) - last > PAIRED or passing == k[-1]:  # the last block is full: pass on what is there
+            if len(k) - last > PAIRED or passing == k[-1] or m[last:].any():  # the last block is full: pass on what is there
                 last, passing = len(k) - 1, int(k[-1])
                 known.append(passing)
             else:
                 passing = None
-            yield out(k[:last], h[:last], known)
-            keep = [k[last:], h[last:]]
+            yield out(k[:last], h[:last], m[:last], known)
+            keep = [k[last:], h[last:], m[last:]]
         yield out(*keep, [] if passing is None else [passing])
 
     return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
@@ -377,7 +414,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def candidates(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct pairs (a < b) of texts that meet in some block, (key, h) of full blocks, and (h, s0 to s3) of each text."""
-    found = materialize(_block_pairs(_block_rows(records).repartition("key").sortWithinPartitions("key")), "blocks")
+    found = materialize(_block_pairs(_spread(_block_rows(records))), "blocks")
     pairs = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
     full = found.where(F.col("key").isNotNull()).select("key", "h").distinct()
     return pairs, full, found.where(F.col("s0").isNotNull()).select("h", *_WORDS).dropDuplicates(["h"])
@@ -476,12 +513,26 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rest = rest.join(points.select("h", "n", "point"), "h").join(sketch, "h").select("key", F.explode(F.array(step, step + 1)).alias("class"), "h", "n", "point", *_WORDS)
     close = bounded(pairs, points, threshold).unionByName(_tree_pairs(rest, threshold)).distinct()
     similar = materialize(similar_pairs(close, points.select("h", "text"), threshold), "similar")
-    a = members.select("tbl", F.col("h").alias("a"), F.col("id").alias("x"))
-    b = members.select(F.col("h").alias("b"), F.col("id").alias("y"))
-    across = similar.select("a", "b").join(a, "a").join(b, "b").select("tbl", "x", "y")
+    across = _across(similar.select("a", "b"), members)
     return across.unionByName(_within(members)).select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def _across(similar: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of records of two similar classes: all of small ones, of large ones each with the first of the other."""
+    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
+    a = sizes.select(F.col("h").alias("a"), F.col("c").alias("ca"), F.col("first").alias("fa"))
+    b = sizes.select(F.col("h").alias("b"), F.col("c").alias("cb"), F.col("first").alias("fb"))
+    both = materialize(similar.join(a, "a").join(b, "b"), "classes")
+    left = members.select("tbl", F.col("h").alias("a"), F.col("id").alias("x"))
+    right = members.select(F.col("h").alias("b"), F.col("id").alias("y"))
+    large = F.col("ca") * F.col("cb") > ALL_PAIRS**2
+    every = both.where(~large).select("a", "b").join(left, "a").join(right, "b").select("tbl", "x", "y")
+    to_first = both.where(large).select("a", F.col("fb").alias("y")).join(left, "a").select("tbl", "x", "y")
+    tbl = members.select("tbl", F.col("h").alias("b"), F.col("id").alias("y"))
+    from_first = both.where(large).select("b", F.col("fa").alias("x")).join(tbl, "b").select("tbl", "x", "y")
+    return every.unionByName(to_first.unionByName(from_first).distinct())  # both stars have the pair of the first ones
+
+
 def _within(members: DataFrame) -> DataFrame:
     """Pairs of records with equal texts: all of a small class, a star of a large one."""
     sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)

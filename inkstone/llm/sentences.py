@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 _MASK = "\ue000"
 _CUT = "\ue00f"
 _MARKS = ".!?。！？．"
+#: Terminators of further scripts (Devanagari, Urdu, Arabic, Armenian, Ethiopic, Khmer, Burmese).
+_OTHER_MARKS = "।॥۔؟։።፧។៕။"
 _DOT = f"[.{_MASK}]"
 
 #: Abbreviations behind which a sentence goes on, whatever follows (lower case, without the
@@ -65,28 +67,35 @@ def _masked(df: DataFrame, text: Column) -> DataFrame:
     known = f"[.](?<=(?<![\\p{{Lu}}\\p{{Ll}}\\p{{N}}])(?i:{_abbreviations()})[.])"
     df = df.withColumn("_t", F.regexp_replace("_t", f"{between}|{initial}|{others}", _MASK))
     df = df.withColumn("_t", F.regexp_replace("_t", known, _MASK))
-    # quotations: all marks but the last before the closing quote; brackets likewise
-    df = df.withColumn("_t", F.when(F.contains("_t", F.lit("„")), F.regexp_replace("_t", "„([^“”„\"«»]{1,600}+)“", "«$1»")).otherwise(F.col("_t")))
-    def hide(x: Column, i: Column) -> Column:
-        return F.when(i % 2 == 1, F.concat(F.translate(F.substring(x, F.lit(1), F.length(x) - 1), _MARKS, _MASK * len(_MARKS)), F.substring(x, F.length(x), F.lit(1)))).otherwise(x)
-
-    two = F.length("_t") - F.length(F.replace(F.col("_t"), F.lit('"'), F.lit("")))
-    df = df.withColumn("_t", F.when((two > 0) & (two % 2 == 0), F.array_join(F.transform(F.split("_t", '"', -1), hide), '"')).otherwise(F.col("_t")))
-    # each pass masks the first mark that is left in a quotation or bracket and not its last character
-    for open_, close, passes in (("“«「『", "”»」』", 4), ("(（", ")）", 2)):
-        inner = f"([{open_}][^{open_}{close}{_MARKS}]*+)[{_MARKS}]([^{open_}{close}]++[{close}])"
-        for _ in range(passes):
-            there = F.col("_t").rlike(f"[{open_}]") if passes > 2 else F.lit(True)
-            df = df.withColumn("_t", F.when(there, F.regexp_replace("_t", inner, f"$1{_MASK}$2")).otherwise(F.col("_t")) if passes > 2 else F.regexp_replace("_t", inner, f"$1{_MASK}$2"))
-    return df
+    # quotations and brackets: all marks but one directly before the closing sign
+    shown = _MARKS + _OTHER_MARKS
+
+    def inner(x: Column) -> Column:
+        return F.concat(F.translate(F.substring(x, F.lit(1), F.length(x) - 1), shown, _MASK * len(shown)), F.substring(x, F.length(x), F.lit(1)))
+
+    def hide(open_: str, close: str) -> Column:
+        parts = F.regexp_extract_all("_t", F.lit(f"[{open_}][^{open_}{close}]++[{close}]|[^{open_}]++|[{open_}]"), 0)
+        whole = lambda x: x.rlike(f"^[{open_}][^{open_}{close}]++[{close}]$")
+        hidden = F.transform(parts, lambda x: F.when(whole(x), F.concat(inner(F.substring(x, F.lit(1), F.length(x) - 1)), F.substring(x, F.length(x), F.lit(1)))).otherwise(x))
+        return F.when(F.col("_t").rlike(f"[{open_}]"), F.array_join(hidden, "")).otherwise(F.col("_t"))
+
+    df = df.withColumn("_t", F.when(F.contains("_t", F.lit("„")), F.regexp_replace("_t", "„([^“”„\"«»]++)“", "«$1»")).otherwise(F.col("_t")))
+    # straight quotes go in pairs; where their number is odd, those behind a figure are inches, and a last one alone opens nothing
+    count = F.length("_t") - F.length(F.replace(F.col("_t"), F.lit('"'), F.lit("")))
+    df = df.withColumn("_t", F.when(count % 2 == 1, F.regexp_replace("_t", "(?<=\\p{N})\"", "\ufffd")).otherwise(F.col("_t")))
+    count = F.length("_t") - F.length(F.replace(F.col("_t"), F.lit('"'), F.lit("")))
+    paired = F.transform(F.split("_t", '"', -1), lambda x, i: F.when((i % 2 == 1) & (i < count), inner(x)).otherwise(x))
+    df = df.withColumn("_t", F.when(count > 1, F.array_join(paired, '"')).otherwise(F.col("_t")))
+    df = df.withColumn("_t", hide("“«「『", "”»」』"))
+    return df.withColumn("_t", hide("(（", ")）"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Put the boundary mark behind each terminator that ends a sentence; ``_p``: the pieces."""
     start = "[\"'“‘«„¿¡「『]*(?:[\\p{Lu}\\p{Lt}\\p{Lo}]|[a-z]-values)"
     western = f"[.!?…]+(?:{_CLOSE}*+(?={_BLANK}+{start}|\\p{{Lu}}\\p{{Ll}}|[¿¡])|(?=\\p{{Lo}}))"
-    eastern = f"(?:[。！？．｡]+|…{{2,}})(?:(?!{_CLOSE})|{_CLOSE}++(?={_BLANK}*$|{_BLANK}+[^\\p{{Ll}}\\s]))"
-    df = df.withColumn("_t", F.regexp_replace("_t", f"(?=[.!?…。！？．｡])(?:{eastern}|{western})", "$0" + _CUT))
+    eastern = f"(?:[。！？．｡{_OTHER_MARKS}]+|…{{2,}})(?:(?!{_CLOSE})|{_CLOSE}++(?={_BLANK}*$|{_BLANK}+[^\\p{{Ll}}\\s]))"
+    df = df.withColumn("_t", F.regexp_replace("_t", f"(?=[.!?…。！？．｡{_OTHER_MARKS}])(?:{eastern}|{western})", "$0" + _CUT))
     df = df.withColumn("_t", F.regexp_replace("_t", "\\n[ \\t\\r]*\\n", _CUT + "$0"))
     return df.withColumn("_p", F.split("_t", _CUT, -1)).drop("_t")
 

@@ -129,3 +129,31 @@ def test_flight_keeps_the_totals():
 def test_plan():
     got = mixing.plan([("a", 100), ("b", 10)], [("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.0, 1)])
     assert got["b"] == (2.0, 20.0) and got["a"][1] == 90.0 and got["c"] == (0.0, 0.0)
+
+
+def test_keyword_lists_of_many_words():
+    rng = random.Random(1)
+    for n in (44, 46, 100, 180):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)] * 20
+        rng.shuffle(words)
+        assert spam.shares("\n".join(", ".join(words[i : i + 8]) for i in range(0, len(words), 8)))[2] > 0.9
+        assert spam.shares(" ".join(words))[2] > 0.9
+    assert spam.shares("\n".join(f"cheap{i}.shop\nbuy at best{i}.store/x" for i in range(20)))[1] > 0.9
+    prose = "The river rose in May, and nobody had expected so much water. See www.a.example/b for the whole report on the flood. Most towns were warned at noon. A second wave came late, as https://b.example tells us with many pictures. Only three bridges stood."
+    assert spam.shares(prose)[0] > 0.9
+
+
+def test_the_fit_keeps_the_states():
+    rows = [[0] * 20] * 50 + [[1] * 10] * 5 + [[2] * 10] * 5 + [[3, 3, 0, 3]] * 5
+    model = spam.baum_welch(rows)
+    assert [spam.label(r, model)[0] for r in ([0] * 9, [1] * 9, [2] * 9, [3] * 9)] == [0, 1, 2, 3]
+    assert np.allclose(np.exp(model.emit).sum(axis=1), 1) and np.allclose(np.exp(model.move).sum(axis=1), 1)
+    assert all(np.allclose(a, b) for a, b in zip(spam.baum_welch([]), spam.DEFAULT))
+
+
+def test_other_languages_of_a_script_are_rejected():
+    ru = [f"мы рассматриваем {a} {b} и их влияние на {c}" for a in ("долгие", "малые", "старые") for b in ("сроки", "рынки", "реки") for c in ("поведение людей", "цены хлеба", "местную власть")]
+    en = [f"the {a} {b} and the effect on {c}" for a in ("long", "small", "old") for b in ("terms", "markets", "rivers") for c in ("people", "bread", "power")]
+    model = languages.Classifier({"ru": "\n".join(ru).encode(), "en": "\n".join(en).encode()})
+    assert model.text(ru[0] + ".")[0] == "ru" and model.text("Це речення написано українською мовою, і воно має бути відхилене.")[0] is None
+    assert model.text("Ово је реченица на српском језику која треба да буде одбијена.")[0] is None

@@ -143,3 +143,55 @@ def test_blocks_beyond_the_limit_are_searched_whole(spark, monkeypatch):
     data = _variants(5, [4, 12, 30], 0.06)
     want, got = _true_pairs(data), _found_pairs(spark, data)
     assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_full_blocks_are_spread_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRED", 3)
+    data = _variants(6, [40, 2, 2], 0.03)
+    rows_ = neardup._block_rows(spark.createDataFrame([("t", i, t) for i, t in data], "tbl string, id long, text string").repartition(2)).collect()
+    assert any(r.sketch is not None and len(r.sketch) == 1 for r in rows_) and any(r.sketch == neardup._TELL for r in rows_)
+    want, got = _true_pairs(data), _found_pairs(spark, data)
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_large_classes_are_joined_by_their_first_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ALL_PAIRS", 2)
+    base = "the quiet river rose in may and nobody had expected so much water near the old bridge of foobaria this year"
+    texts = [base] * 4 + [base.replace("quiet", "silent")] * 3
+    got = _found_pairs(spark, list(enumerate(texts)))
+    assert got == {(0, 1), (0, 2), (0, 3), (4, 5), (4, 6)} | {(i, 4) for i in range(4)} | {(0, j) for j in (4, 5, 6)}
+
+
+def test_the_judged_pairs_of_near_duplicates(spark):
+    word = [f"{a}{b}ing" for a in ("riv", "sto", "lam", "hol", "qua") for b in ("er", "ask", "imp", "orn", "ull", "ent")]
+    long = " ".join(word)[:240]
+    pairs = [("a quiet river rose in may near a brid.", "a quiet river rose in mai near a brid."), ("安静的河在五月涨水了", "安静的河在五月涨水了呢"), (long, "".join("#" if k % 30 == 15 else c for k, c in enumerate(long)))]
+    han = "".join(chr(0x4E00 + (i * 37) % 4000) for i in range(250))
+    pairs.append((long + han, han + long))
+    data = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    want, got = _true_pairs(data), _found_pairs(spark, data)
+    assert {(0, 1), (2, 3), (6, 7)} <= want and got == want
+
+
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("“A one. B two. C three. D four. E five. F six. G seven. H eight.” she said to the board.", 1),
+        ("(One. Two. Three. Four. Five.) is long. It ended.", 2),
+        ("„Der erste Satz. " + "Noch einer. " * 80 + "Ende.“ sagte sie leise.", 1),
+        ('The 5" pipe broke. He wrote: "It rose. Why did it?" next to the bridge. Then rain.', 3),
+        ("यह पहला वाक्य है। यह दूसरा है।", 2), ("هل هذا سؤال؟ نعم۔ انتهى", 3), ("Սա առաջինն է։ Սա երկրորդն է։", 2),
+    ],
+)
+def test_long_quotations_and_other_scripts(spark, text, n):
+    df = spark.createDataFrame([(1, text)], "k long, t string")
+    assert len(sentences.with_sentences(df, "t").first().sentences) == n
+
+
+def test_mixing_meets_every_share(spark):
+    rng = random.Random(2)
+    docs = [(i, "word " * rng.randint(5, 60), "abcd"[i % 4] if i % 4 < 3 else "abd"[i % 3]) for i in range(900)] + [(1000 + i, "w " * 40, "e") for i in range(6)]
+    targets = [("a", 0.5, 1), ("b", 0.2, 2), ("d", 0.2, 3), ("e", 0.05, 4), ("none", 0.05, 2)]
+    t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.reached(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), t), t).collect()}
+    assert all(abs(got[s].reached_share - w / 0.95) < 0.01 and got[s].most_copies <= m for s, w, m in targets[:4]) and got["none"].tokens == 0
