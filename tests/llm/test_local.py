@@ -157,3 +157,8 @@ def test_other_languages_of_a_script_are_rejected():
     model = languages.Classifier({"ru": "\n".join(ru).encode(), "en": "\n".join(en).encode()})
     assert model.text(ru[0] + ".")[0] == "ru" and model.text("Це речення написано українською мовою, і воно має бути відхилене.")[0] is None
     assert model.text("Ово је реченица на српском језику која треба да буде одбијена.")[0] is None
+
+
+def test_any_number_of_given_names():
+    assert names.align(list("abcdef"), list("abcdef")) == 0 and names.align(list("abcdefg"), list("gfedcba")) is not None
+    assert names.align(["anna", "b", "c", "d", "e"], ["anna", "b", "c", "d", "x", "y"]) is None

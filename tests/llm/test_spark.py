@@ -195,3 +195,25 @@ def test_mixing_meets_every_share(spark):
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     got = {r.source: r for r in mixing.reached(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), t), t).collect()}
     assert all(abs(got[s].reached_share - w / 0.95) < 0.01 and got[s].most_copies <= m for s, w, m in targets[:4]) and got["none"].tokens == 0
+
+
+def _linked(spark, *authors):
+    df = spark.createDataFrame([(a,) for a in authors], "authors string")
+    return {r.name: r.entity for r in names.link_variants([(df, "authors")]).collect()}
+
+
+def test_misspelt_families_of_many_spellings(spark):
+    e = _linked(spark, "Smithsonberg, C.; Chuck Smithsonberg; Charles Smithsonberg", "Charles Smithsonbreg; C. Smithsonbreg; Smithsonbreg, Charles", "Quentin Foobarington; Foobarington, Q.; Foobarington", "Zoe Longarm; Longarm, Z.; Longarm, Amy; Longarm, Bea; Longarm")
+    assert len({e[n] for n in e if "Smithsonb" in n}) == 1 and len({e[n] for n in e if "Foobarington" in n}) == 1
+    assert e["Zoe Longarm"] == e["Longarm, Z."] and len({e[n] for n in e if "Longarm" in n}) == 4  # the bare name is not guessed
+
+
+def test_chinese_names_by_their_readings(spark):
+    e = _linked(spark, "王伟; Wang, Wei; Wei Wang; Wang Wei", "高宇; Gao, Mingyu", "高屿; 高嶼", "Gao, Yu", "欧阳晓明; Ouyang, Xiaoming")
+    assert e["王伟"] == e["Wang, Wei"] and e["高屿"] == e["高嶼"] and e["欧阳晓明"] == e["Ouyang, Xiaoming"]
+    assert len({e["高宇"], e["高屿"], e["Gao, Yu"], e["Gao, Mingyu"]}) == 4  # a romanised name that fits two is not guessed
+
+
+def test_the_family_name_is_the_part_that_the_collection_uses(spark):
+    e = _linked(spark, "Lee, Christopher; Lee, C.; Lee, Dana", "Christopher Lee; Lee Dana")
+    assert e["Christopher Lee"] == e["Lee, Christopher"] == e["Lee, C."] and e["Lee Dana"] == e["Lee, Dana"]
