@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import chunking, languages, linking, mixing, names, neardup, sentences, spam, tokenize
-from inkstone.session import read
+from inkstone.session import latest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,9 +26,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece with its text; a record that came twice is cut once."""
-    pieces = chunking.split_oversized(read(spark, sf_dir, "rag_nodes"))
-    return pieces.dropDuplicates(["node_no", "piece_no"])
+    """Every piece with its text; of a record that came twice the latest delivery is cut."""
+    long_ = read(spark, sf_dir, "rag_nodes").where(F.length("text") > chunking.LIMIT)
+    return chunking.split_oversized(latest(long_, "node_no", "ingested_at", "text", "page"))
 
 
 def _name_fields(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str]]:

@@ -162,3 +162,43 @@ def test_other_languages_of_a_script_are_rejected():
 def test_any_number_of_given_names():
     assert names.align(list("abcdef"), list("abcdef")) == 0 and names.align(list("abcdefg"), list("gfedcba")) is not None
     assert names.align(["anna", "b", "c", "d", "e"], ["anna", "b", "c", "d", "x", "y"]) is None
+
+
+def test_close_titles_share_a_key():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    missed = total = 0
+    for n in (1, 2, 3, 5, 8, 12):
+        for _ in range(450):
+            a = " ".join(rng.choice(words) for _ in range(n))
+            at = rng.choice([i for i, c in enumerate(a) if c != " "])
+            b = a[:at] + rng.choice("xyz") + a[at + 1 :]
+            va, vb = linking.encode(a), linking.encode(b)
+            total += 1
+            missed += not set(linking.keys_of(a, va)) & set(linking.keys_of(b, vb))
+    assert total == 2700 and missed == 0
+    # without luck: every two vectors closer than the number of chunks with a bit
+    for _ in range(300):
+        v = np.packbits(np.array([rng.random() < 0.1 for _ in range(linking.BITS)], np.uint8))
+        w = v.copy()
+        chunks = sum(bool(v[i : i + 4].any()) for i in range(0, 64, 4))
+        for bit in rng.sample(range(linking.BITS), chunks - 1):
+            w[bit // 8] ^= 1 << bit % 8
+        assert set(linking.keys_of("x" * 40, v.view(np.int64))) & set(linking.keys_of("x" * 40, w.view(np.int64)))
+
+
+def test_calibrated_confidence():
+    rng = random.Random(5)
+    truth, counts = {}, {}
+    for _ in range(40000):
+        good = rng.random() < 0.8
+        k = tuple(rng.choices(range(len(f[0])), f[0 if good else 1])[0] for f in (((0.6, 0.2, 0.1, 0.1), (0.1, 0.1, 0.3, 0.5)), ((0.9, 0.08, 0.02), (0.2, 0.3, 0.5)), ((0.8, 0.1, 0.05, 0.05), (0.1, 0.1, 0.1, 0.7))))
+        counts[k] = counts.get(k, 0) + 1
+        truth[k] = truth.get(k, 0) + good
+    sure = linking.calibrated(counts)
+    for lo in (0.0, 0.2, 0.4, 0.6, 0.8):  # reliability: of the pairs with a confidence near x a share near x are matches
+        some = [k for k in counts if lo <= sure[k] < lo + 0.2 + 1e-9]
+        n = sum(counts[k] for k in some)
+        if n > 300:
+            assert abs(sum(truth[k] for k in some) / n - sum(counts[k] * sure[k] for k in some) / n) < 0.08
+    assert linking.calibrated({}) == {}
