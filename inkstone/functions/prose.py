@@ -44,6 +44,16 @@ def split_ready(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "(?<!\\n)\\n(?!\\n)", " "), " +", " "))
 
 
+def citation_sentences(s: Column) -> Column:
+    """Sentences by marks alone: . ? ! unless a small letter comes next, in decimals, behind abbreviations and two initials; closing signs stay."""
+    words = "|".join(w.replace(".", "[.]") for w in ABBREVIATIONS if "." not in w and " " not in w)
+    keep = "[.](?:(?<=\\d[.])(?=\\d)|(?<=(?i:e[.]g|i[.]e|et al)[.])|(?<=(?<![A-Za-z])(?i:" + words + ")[.])|(?<=(?:(?<![\\p{L}\\p{N}_])[A-Z][.]){2,9}))"
+    t = F.regexp_replace(split_ready(s), keep, _MASK)
+    t = F.regexp_replace(t, "[.?!]++(?![\\s\\p{Z}]*\\p{Ll})[)\\]}\"']*", "$0\ue001")
+    parts = F.split(t, "\ue001|\\n{2,}", -1)
+    return F.filter(F.transform(parts, lambda x: T.normalize_ws(F.replace(x, F.lit(_MASK), F.lit(".")))), lambda x: x != "")
+
+
 def sentences(s: Column) -> Column:
     """Sentences for the citation bank: split behind . ! ? and closing marks, unless a small letter follows."""
     known = "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,52 @@ def language(s: Column) -> Column:
     return F.when(share > 0.7, "zh").when(share > 0.3, "mixed").otherwise("en")
 
 
+def sentence_language(s: Column, fallback: str = "en") -> Column:
+    """By presence: ``mixed`` with Han and Latin letters, else the one that is there."""
+    zh, en = s.rlike("[\\x{4e00}-\\x{9fff}]"), s.rlike("[A-Za-z]")
+    return F.when(zh & en, "mixed").when(zh, "zh").when(en, "en").otherwise(fallback)
+
+
+def token_language(token: Column) -> Column:
+    return F.when(token.rlike("[\\x{4e00}-\\x{9fff}]"), "zh").otherwise("en")
+
+
+def primary_language(s: Column) -> Column:
+    """The one language of a text: a mixed one is Chinese if it has at least as many Han as Latin letters."""
+    lang = language(s)
+    return F.when(lang != "mixed", lang).when(han_count(s) >= latin_count(s), "zh").otherwise("en")
+
+
+#: Chinese function words that are no vocabulary.
+STOP_WORDS_ZH = "的 了 和 与 及 或 而 但 并 且 及其 以及 等 是 为 在 对 于 将 被 把 从 到 由 与其 其 该 本 此 这些 那些 一个 一种 一些 我们 你们 他们 她们 它们 可以 可能 需要 通过 进行 实现 包括 主要 本文".split()
+
+
+def han_tokens(s: Column, segment: Callable[[Column], Column] | None = None) -> Column:
+    """Chinese tokens of Han characters only; ``segment`` cuts words (a column function), without one each character is a token."""
+    return F.regexp_extract_all(s, F.lit(HAN), 0) if segment is None else F.filter(segment(s), lambda w: w.rlike(f"^{HAN}+$"))
+
+
+def han_words(s: Column, segment: Callable[[Column], Column] | None = None) -> Column:
+    """Chinese vocabulary words: at least two characters and no function word (so none without a segmenter)."""
+    return F.filter(han_tokens(s, segment), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS_ZH))
+
+
+def streams(s: Column, lang: Column, segment: Callable[[Column], Column] | None = None) -> Column:
+    """The token streams of a text by language, as a map; a mixed text has both."""
+    en, zh = F.create_map(F.lit("en"), ascii_words(s)), F.create_map(F.lit("zh"), han_tokens(s, segment))
+    return F.when(lang == "en", en).when(lang == "zh", zh).otherwise(F.map_concat(en, zh))
+
+
+def pieces(s: Column) -> Column:
+    """A text cut into runs of Han, Latin letters, white space and single other characters, nothing lost."""
+    return F.regexp_extract_all(s, F.lit("[\\x{4e00}-\\x{9fff}]+|[a-zA-Z]+|[\\s\\p{Z}]+|[^\\s\\p{Z}]"), 0)
+
+
+def rough_tokens(s: Column) -> Column:
+    """Words, numbers, single Han characters and single other signs."""
+    return F.regexp_extract_all(s, F.lit("[A-Za-z]+|\\d+(?:\\.\\d+)?|[\\x{4e00}-\\x{9fff}]|[^\\s\\p{Z}]"), 0)
+
+
 def approx_tokens(s: Column) -> Column:
     """At least 1: one token per Han character and one per four others, truncated."""
     zh = han_count(s)
@@ -60,7 +108,7 @@ def stable_key(prefix: str, page: Column, s: Column, extra: Column) -> Column:
 
 def unbalanced(s: Column) -> Column:
     """The first kind of bracket whose opening and closing counts differ, else null."""
-    pairs = ["()", "[]", "{}", "（）", "【】", "《》", "「」", "“”"]
+    pairs = ["()", "（）", "[]", "{}", "《》", "“”", "「」", "『』"]  # fixed values, in this order
 
     def count(c: str) -> Column:
         return F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
@@ -92,7 +140,7 @@ def years(s: Column) -> Column:
 
 def surnames(authors: Column) -> Column:
     """Lower-case family names of an author list joined by ``;``, ``and`` or ``&``."""
-    parts = F.split(F.regexp_replace(authors, "(?i)\\s+et al\\.?", ""), "\\s+and\\s+|\\s*[&;]\\s*")
+    parts = F.split(F.regexp_replace(authors, "(?i)\\s+(?:et\\s+al\\.?|等人?)(?=\\s*(?:$|[&;]|\\s+and\\s))", ""), "\\s+and\\s+|\\s*[&;]\\s*")
 
     def family(p: Column) -> Column:
         q = F.trim(p)

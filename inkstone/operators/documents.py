@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstone.functions import lexicon
+from inkstone.functions import headings, lexicon
 from inkstone.functions import text as T
 
 
@@ -44,14 +44,6 @@ def outlines(headings: DataFrame, doc: str, order: str, canonical: str) -> DataF
     return seq.groupBy(text.alias("outline")).agg(F.count(F.lit(1)).alias("n"), F.min(doc).alias("example"))
 
 
-#: Canonical names of headings and what names them, in order of precedence.
-HEADINGS = [
-    ("abstract", "^abstract\\b"), ("introduction", "^intro|introduction|^引言|^前言|^绪论|^einleitung|^introducci|^introdu|^введение|^はじめに"), ("related_work", "related work|literature review|文献综述|相关工作"),
-    ("data", "\\bdata\\b|sample|^daten|^datos|^dados|^données|数据|样本|变量|данные|データ"), ("methods", "method|model|identification|specification|方法|模型|研究设计"), ("results", "result|discussion|findings|结果|讨论|ergebnis|resultad|результат"),
-    ("robustness", "robust"), ("conclusion", "conclu|^summary|^结论|^总结"), ("references", "^reference|^bibliograph|^literature cited|^参考文献"), ("appendix", "^appendix|^附录"), ("acknowledgements", "^acknowledg|^致谢"),
-]
-
-
 #: What numbers a heading.
 HEADING_PREFIX = "^\\s*(?:\\d+(?:\\.\\d+)*[.)]?|[一二三四五六七八九十]+[、.．)）]|[（(][一二三四五六七八九十]+[)）]|第[一二三四五六七八九十0-9]+[章节篇])\\s*"
 #: Lines that are headings by their numbering, and the names of sections that need none.
@@ -68,8 +60,7 @@ def heading_like(line: Column) -> Column:
 
 def canonical(heading: Column) -> Column:
     """The class of a heading, ``other`` if none fits."""
-    base = F.lower(F.trim(F.regexp_replace(heading, HEADING_PREFIX, "")))
-    return F.coalesce(*[F.when(base.rlike(p), F.lit(n)) for n, p in HEADINGS], F.lit("other"))
+    return headings.canonical(heading, F.lit("mixed"))
 
 
 def narrative_citations(s: Column) -> Column:
@@ -78,21 +69,39 @@ def narrative_citations(s: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, " ?[(（]((?:18|19|20)[0-9]{2}[a-z]?)[)）]$", "|$1"))
 
 
-def scaffold(s: Column) -> Column:
-    """The opening phrase worth keeping: the first listed phrase at the start, else the first six words."""
-    low = F.lower(s)
-    hits = [F.when(low.startswith(p), F.rtrim(F.concat(F.substring(s, 1, len(p)), F.when(F.substring(s, len(p) + 1, 1) == ",", ",").otherwise("")))) for p in lexicon.SCAFFOLDS_EN]
-    return F.coalesce(*hits, F.array_join(F.slice(F.split(T.normalize_ws(s), " "), 1, 6), " "))
+def scaffold(s: Column, language: Column | None = None) -> Column:
+    """The phrase worth keeping: of English the first listed phrase that occurs anywhere, else the first six words; of Chinese the first clause, at most 16 characters."""
+    text = F.regexp_replace(F.trim(s), "^\\[[^\\]]+\\][\\s\\p{Z}]*", "")
+    low = F.lower(text)
+
+    def phrase(p: str) -> Column:
+        at = F.locate(p, low)
+        more = F.substring(text, at + len(p), F.lit(1))
+        return F.when(at > 0, F.concat(F.substring(text, at, F.lit(len(p))), F.when(more.isin(",", "，"), more).otherwise("")))
+
+    words = F.filter(F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}_]+"), 0), lambda w: w.rlike("^\\p{L}+$"))
+    english = F.coalesce(*[phrase(p) for p in lexicon.SCAFFOLDS_EN], F.array_join(F.slice(words, 1, 6), " "))
+    tight = F.regexp_replace(s, "[\\s\\p{Z}]+", "")
+    clause = F.regexp_replace(F.regexp_extract(tight, "^([^。！？；;]*)", 1), "^[（(]?\\d+(?:\\.\\d+)?[)）]?", "")
+    chinese = F.when(clause != "", F.substring(clause, 1, 16)).otherwise(F.substring(tight, 1, 16))
+    return english if language is None else F.when(language == "zh", chinese).otherwise(english)
 
 
 def file_matches(citations: DataFrame, files: DataFrame) -> DataFrame:
-    """(cite, pdf): the file of a citation: its name has the year and a family name; the smallest path wins.
+    """(cite, pdf): the file whose name has the year and the largest share of the family names; the first path wins ties.
 
-    ``citations``: (cite, name, y); ``files``: (pdf).  Meets on the words of the file name.
+    ``citations``: (cite, names array or one name, y); ``files``: (pdf).  They meet on the figures of the name.
     """
-    w = files.select("pdf", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("pdf"), F.lit("[\\p{L}\\p{N}]+"), 0))).alias("word"))
-    years = w.where(F.col("word").rlike("^(18|19|20)\\d{2}$")).select("pdf", F.col("word").alias("y"))
-    return citations.join(w, citations["name"] == w["word"]).drop("word").join(years, ["pdf", "y"]).groupBy("cite").agg(F.min("pdf").alias("pdf"))
+    name = F.lower(F.regexp_extract("pdf", "([^/\\\\]*)$", 1))
+    figures = F.flatten(F.transform(F.regexp_extract_all(name, F.lit("\\d{4,}"), 0), lambda d: F.transform(F.sequence(F.lit(1), F.length(d) - 3), lambda i: F.substring(d, i, F.lit(4)))))
+    w = files.select("pdf", name.alias("name"), F.explode(F.array_distinct(figures)).alias("y4"))
+    if "names" not in citations.columns:
+        citations = citations.withColumn("names", F.array("name")).drop("name")
+    j = citations.withColumn("y4", F.substring("y", 1, 4)).join(w, "y4").where(F.contains("name", F.lower("y")))
+    hits = F.size(F.filter("names", lambda n: (n != "") & F.contains(F.col("name"), n)))
+    j = j.withColumn("score", F.round(hits / F.greatest(F.size("names"), F.lit(1)), 6)).where(F.col("score") > 0)
+    best = j.groupBy("cite").agg(F.min(F.struct((-F.col("score")).alias("s"), "pdf")).alias("b"))
+    return best.select("cite", F.col("b.pdf").alias("pdf"))
 
 
 def conllu(df: DataFrame, text: str, doc: str) -> DataFrame:

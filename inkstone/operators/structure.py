@@ -21,18 +21,6 @@ def page_capped(rows: DataFrame, by: list[str], order: list[Column], cap: int) -
     return rows.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
 
 
-def repeated_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """(doc, line_key, pages): first and last two lines of pages that repeat on 60 % of at least three pages."""
-    lines = F.filter(F.transform(F.split(F.col(text), "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "")
-    ends = pages.select(doc, page, lines.alias("l")).where(F.size("l") > 0)
-    edge = F.array_distinct(F.concat(F.slice("l", 1, 2), F.slice("l", F.greatest(F.size("l") - 1, F.lit(1)), F.lit(2))))
-    rows = ends.select(doc, page, F.explode(edge).alias("line"))
-    rows = rows.withColumn("line_key", F.lower(F.trim(F.regexp_replace("line", "\\d+", "")))).where(F.length("line").between(5, 160) & (F.length("line_key") >= 6))
-    total = ends.groupBy(doc).agg(F.countDistinct(page).alias("n_pages"))
-    per = rows.groupBy(doc, "line_key").agg(F.countDistinct(page).alias("pages"))
-    return per.join(total, doc).where((F.col("n_pages") >= 3) & (F.col("pages") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") * 0.6)))).select(doc, "line_key", "pages")
-
-
 def even_sample(rows: DataFrame, order: Column, m: int, by: str) -> DataFrame:
     """Evenly spaced rows of each group: positions round-half-even(i n / m) for i < m."""
     w = W.partitionBy(by)

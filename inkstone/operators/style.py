@@ -31,11 +31,26 @@ def too_long(count: Column, mean: Column) -> Column:
     return count > F.floor(mean * 1.5)
 
 
-def weirdness(unseen: Column, rare: Column, phrase: Column, sentence: Column, style: Column) -> Column:
-    """0 to 100 from five shares, each steepened and capped at 1."""
-    word = F.least(F.lit(1.0), 1.25 * unseen + 0.75 * rare)
-    parts = [(0.35, word), (0.3, F.least(F.lit(1.0), 1.6 * phrase)), (0.2, F.least(F.lit(1.0), 1.2 * F.least(F.lit(1.0), sentence))), (0.15, F.least(F.lit(1.0), style))]
-    return F.bround(100 * sum((w * p for w, p in parts), F.lit(0.0))).cast("int")
+#: Weights of words, phrases, sentences, style, meaning and syntax, by whether phrase and syntax statistics exist.
+WEIGHTS = {
+    (True, True): (0.32, 0.26, 0.12, 0.10, 0.14, 0.06), (True, False): (0.34, 0.28, 0.13, 0.10, 0.15, 0.0),
+    (False, True): (0.46, 0.0, 0.19, 0.15, 0.14, 0.06), (False, False): (0.50, 0.0, 0.20, 0.15, 0.15, 0.0),
+}
+
+
+def weirdness(unseen: Column, rare: Column, phrase: Column, sentence: Column, style: Column, meaning: Column | None = None, syntax: Column | None = None) -> Column:
+    """0 to 100 from the shares of six parts, each steepened and capped at 1.
+
+    A null ``phrase`` means no phrase statistics for the row, a missing ``syntax`` none at all: their weights go to the other parts.
+    """
+    one = lambda x: F.least(F.lit(1.0), x)
+    zero = F.lit(0.0)
+    parts = [one(1.25 * unseen + 0.75 * rare), F.coalesce(one(1.6 * phrase), zero), one(1.2 * one(sentence)), one(style), one(1.1 * one(zero if meaning is None else meaning)), one(1.1 * one(zero if syntax is None else syntax))]
+
+    def total(phrases: bool) -> Column:
+        return F.bround(100 * sum((w * p for w, p in zip(WEIGHTS[phrases, syntax is not None], parts)), zero)).cast("int")
+
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.when(phrase.isNotNull(), total(True)).otherwise(total(False))))
 
 
 def level(score: Column) -> Column:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstone.functions import lexicon, prose
+from inkstone.functions import citing, headings, lexicon, prose, segment
 from inkstone.functions import text as T
-from inkstone.operators import citations, corpus, coverage, documents, structure, style, vector
-from inkstone.session import read
+from inkstone.operators import audit, citations, corpus, coverage, documents, libraries, pages, retrieval, review, structure, style, vector
+from inkstone.plans import headings_sql
+from inkstone.session import latest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,17 +109,22 @@ def split_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("node_no").agg(F.count(F.lit(1)).alias("paragraphs"), F.max(F.length("p")).cast("bigint").alias("longest"))
 
 
+_PARAS = "list_filter(list_transform(string_split_regex(regexp_replace(text, '\\r\\n?', '\n', 'g'), '\\n[\\s\\p{Z}]*\\n+'), lambda x: trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g'))), lambda x: x <> '')"
+
+
 @query(
-    f"SELECT node_no, i::INT AS chunk_no, md5(trim(substring(p, i * 900 + 1, 900))) AS chunk_md5 FROM (SELECT node_no, p, unnest(range(0, CAST(ceil(length(p) / 900.0) AS BIGINT))) AS i FROM (SELECT node_no, {_WS.format('text')} AS p FROM (SELECT DISTINCT node_no, text FROM rag_nodes WHERE text IS NOT NULL))) WHERE length(trim(substring(p, i * 900 + 1, 900))) >= 60"
+    f"""WITH p AS (SELECT node_no, {_PARAS} AS ps FROM (SELECT node_no, arg_max(text, ingested_at) AS text FROM rag_nodes GROUP BY node_no) WHERE text IS NOT NULL),
+m AS (SELECT node_no, CASE WHEN len(list_filter(ps, lambda x: length(x) >= 60)) = 0 AND length(array_to_string(ps, ' ')) >= 60 THEN [array_to_string(ps, ' ')] ELSE list_filter(ps, lambda x: length(x) >= 60) END AS ps FROM p),
+c AS (SELECT node_no, list_filter(flatten(list_transform(ps, lambda x: list_transform(range(0, CAST(ceil(length(x) / 900.0) AS BIGINT)), lambda i: trim(substring(x, i * 900 + 1, 900))))), lambda x: length(x) >= 60) AS cs FROM m)
+SELECT node_no, (generate_subscripts(cs, 1) - 1)::INT AS chunk_no, md5(unnest(cs)) AS chunk_md5 FROM c"""
 )
 def chunker(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed slices of 900 characters, those of at least 60 kept."""
-    nodes = read(spark, d, "rag_nodes").select("node_no", "text").where("text IS NOT NULL").distinct().select("node_no", T.normalize_ws(F.col("text")).alias("p")).where("p <> ''")
-    cut = nodes.select("node_no", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.length("p") / 900.0).cast("int") - 1), lambda i: F.trim(F.substring(F.col("p"), i * 900 + 1, F.lit(900))))).alias("chunk_no", "chunk"))
-    return cut.where(F.length("chunk") >= 60).select("node_no", "chunk_no", F.md5("chunk").alias("chunk_md5"))
+    """Paragraphs of 60 to 900 characters, longer ones in slices, short ones together where all of a node are short."""
+    nodes = latest(read(spark, d, "rag_nodes"), "node_no", "ingested_at", "text").where("text IS NOT NULL").withColumn("page", F.lit(1))
+    return pages.passages(nodes, "node_no", "page", "text", cut=False).select("node_no", F.col("chunk").alias("chunk_no"), F.md5("text").alias("chunk_md5"))
 
 
-@query(f"SELECT sentence_id, CASE {' '.join(f'''WHEN length(sentence)-length(replace(sentence,{_q(p[0])},''))<>length(sentence)-length(replace(sentence,{_q(p[1])},'')) THEN {_q(p)}''' for p in ['()', '[]', '{}', '（）', '【】', '《》', '「」', '“”'])} END AS pair FROM {_DIST}")
+@query(f"SELECT sentence_id, CASE {' '.join(f'''WHEN length(sentence)-length(replace(sentence,{_q(p[0])},''))<>length(sentence)-length(replace(sentence,{_q(p[1])},'')) THEN {_q(p)}''' for p in ['()', '（）', '[]', '{}', '《》', '“”', '「」', '『』'])} END AS pair FROM {_DIST}")
 def unbalanced_brackets(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(spark, d).select("sentence_id", T.unbalanced(F.col("sentence")).alias("pair"))
 
@@ -217,9 +223,9 @@ def length_stats(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("size"), F.lit(0.0)), 6).alias("std"))
 
 
-@query(f"SELECT lang, count(*)::BIGINT AS n, list_sort(list(size))[round_even((count(*) - 1) * 0.5, 0)::INT + 1]::BIGINT AS p50, list_sort(list(size))[round_even((count(*) - 1) * 0.9, 0)::INT + 1]::BIGINT AS p90, list_sort(list(size))[round_even((count(*) - 1) * 0.95, 0)::INT + 1]::BIGINT AS p95 FROM {_LEN} WHERE size > 0 GROUP BY lang")
+@query(f"SELECT lang, count(*)::BIGINT AS n, list_sort(list(size))[round_even((count(*) - 1) * 0.5, 0)::INT + 1]::BIGINT AS p50, list_sort(list(size))[round_even((count(*) - 1) * 0.9, 0)::INT + 1]::BIGINT AS p90, list_sort(list(size))[round_even((count(*) - 1) * 0.95, 0)::INT + 1]::BIGINT AS p95 FROM {_LEN} WHERE size > 0 GROUP BY lang HAVING count(*) >= 50")
 def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.length_percentiles(_lengths(spark, d).where("size > 0"), "lang", "size")
+    return corpus.length_percentiles(_lengths(spark, d).where("size > 0"), "lang", "size").where("n >= 50")
 
 
 @query(f"SELECT s.sentence_id, s.lang, s.size, CASE WHEN size > floor(mean * 1.5) THEN 'long_sentence' ELSE 'short_sentence' END AS issue_type FROM (SELECT sentence_id, lang, size FROM (SELECT sentence_id, CASE WHEN zh > 0 AND en > 0 THEN 'mixed' WHEN zh > 0 THEN 'zh' ELSE 'en' END AS lang, CASE WHEN zh > 0 THEN zh ELSE len({_ASCII.replace('text', 'sentence')}) END AS size FROM (SELECT sentence_id, sentence, {_HAN.format('sentence')} AS zh, len(regexp_extract_all(sentence, '[a-zA-Z]')) AS en FROM {_DIST}))) s JOIN (SELECT lang, avg(size) AS mean FROM {_LEN} WHERE size > 0 GROUP BY lang) m USING (lang) WHERE size > floor(mean * 1.5) OR size < greatest(CASE WHEN s.lang = 'en' THEN 5 ELSE 10 END, floor(0.45 * mean))")
@@ -241,11 +247,9 @@ def library_info(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "library_files").groupBy("lib_name", "lib_kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.max("page_count").cast("bigint").alias("most_pages"))
 
 
-@query("SELECT pdf, CASE WHEN lib_kind IN ('exemplar','references') THEN lib_kind WHEN starts_with(lower(lib_name),'ref') OR ends_with(lower(lib_name),'refs') OR starts_with(lower(lib_name),'citecheck') THEN 'references' ELSE 'exemplar' END AS kind FROM library_files")
+@query("SELECT pdf, CASE WHEN lower(trim(lib_kind)) IN ('exemplar','references') THEN lower(trim(lib_kind)) WHEN regexp_matches(lower(trim(lib_name)), '^(refs?[_-]|citecheck|references)|[_-]refs$') THEN 'references' ELSE 'exemplar' END AS kind FROM library_files")
 def library_kind(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("lib_name")
-    guess = F.when(low.startswith("ref") | low.endswith("refs") | low.startswith("citecheck"), "references").otherwise("exemplar")
-    return read(spark, d, "library_files").select("pdf", F.when(F.col("lib_kind").isin("exemplar", "references"), F.col("lib_kind")).otherwise(guess).alias("kind"))
+    return read(spark, d, "library_files").select("pdf", libraries.kind(F.col("lib_name"), F.col("lib_kind")).alias("kind"))
 
 
 # --- selection and windows ----------------------------------------------------------------
@@ -275,16 +279,26 @@ def repeated_openers(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("pdf", F.array_join(F.slice("w", 1, 3), " ").alias("opener")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
+_EDGE_KEY = "CASE WHEN length({0}) BETWEEN 5 AND 160 AND length({1}) >= 6 THEN {1} ELSE '' END".format("x", "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, chr(173), ''), '[ \\t]+', ' ', 'g'), '\\d+', '', 'g'), '[^A-Za-z\\x{4e00}-\\x{9fff} ]+', '', 'g'), ' +', ' ', 'g')))")
+_PAGES = "(SELECT pdf, page, string_agg(text, chr(10) ORDER BY node_no) AS text FROM (SELECT node_no, arg_max(pdf, ingested_at) AS pdf, arg_max(page, ingested_at) AS page, arg_max(text, ingested_at) AS text FROM rag_nodes GROUP BY node_no) WHERE page IS NOT NULL AND text IS NOT NULL GROUP BY pdf, page)"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, page, text): the nodes of a page, one below the other."""
+    n = latest(read(spark, d, "rag_nodes"), "node_no", "ingested_at", "pdf", "page", "text").where("page IS NOT NULL AND text IS NOT NULL")
+    per = n.groupBy(F.col("pdf").alias("doc"), "page").agg(F.sort_array(F.collect_list(F.struct("node_no", "text"))).alias("x"))
+    return per.select("doc", "page", F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("text"))
+
+
 @query(
-    r"""WITH p AS (SELECT pdf, page, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM (SELECT DISTINCT node_no, pdf, page, text FROM rag_nodes WHERE page IS NOT NULL AND text IS NOT NULL)),
-e AS (SELECT DISTINCT pdf, page, unnest(list_concat(l[1:2], l[-2:])) AS line FROM p WHERE len(l) > 0),
-k AS (SELECT DISTINCT pdf, page, lower(trim(regexp_replace(line, '\d+', '', 'g'))) AS line_key FROM e WHERE length(line) BETWEEN 5 AND 160),
-n AS (SELECT pdf, count(DISTINCT page) AS n_pages FROM p WHERE len(l) > 0 GROUP BY pdf)
-SELECT pdf, line_key, count(*) AS pages FROM k JOIN n USING (pdf) WHERE length(line_key) >= 6 GROUP BY pdf, line_key, n_pages HAVING n_pages >= 3 AND count(*) >= greatest(2, floor(n_pages * 0.6))"""
+    rf"""WITH p AS (SELECT pdf, page, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS l FROM {_PAGES}),
+e AS (SELECT pdf, 'head' AS place, unnest(l[1:2]) AS x FROM p UNION ALL SELECT pdf, 'foot', unnest(l[-2:]) FROM p),
+k AS (SELECT pdf, place, {_EDGE_KEY} AS line_key FROM e),
+n AS (SELECT pdf, count(*) AS n FROM p GROUP BY pdf)
+SELECT pdf AS doc, line_key, place, count(*) AS pages FROM k JOIN n USING (pdf) WHERE line_key <> '' GROUP BY pdf, line_key, place, n.n HAVING n.n >= 3 AND count(*) >= greatest(2, floor(n.n * 0.6))"""
 )
 def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
-    pages = read(spark, d, "rag_nodes").where("page IS NOT NULL AND text IS NOT NULL").select("node_no", "pdf", "page", "text").distinct()
-    return structure.repeated_lines(pages, "pdf", "page", "text").select("pdf", "line_key", "pages")
+    return pages.running_heads(_pages(spark, d)).select("doc", "line_key", "place", "pages")
 
 
 # --- style --------------------------------------------------------------------------------
@@ -318,16 +332,34 @@ def template_zh(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(spark, d).select("sentence_id", F.explode(style.templates_zh(F.col("sentence"))).alias("span"))
 
 
-@query(f"WITH v AS ({_VOCAB}), n AS (SELECT count(*) AS docs FROM {_LIB} WHERE text IS NOT NULL), w AS (SELECT doc_id, avg((coalesce(doc_freq,0)=0)::INT) AS unseen, avg((coalesce(doc_freq,0)>0 AND 100.0*coalesce(doc_freq,0)/docs<10)::INT) AS rare FROM {_tok(_TGT)} LEFT JOIN v USING (token), n GROUP BY doc_id), b AS (SELECT t.doc_id, avg((l.bigram IS NULL)::INT) AS ph FROM {_big(_TGT)} t LEFT JOIN (SELECT DISTINCT bigram FROM {_big(_LIB)}) l USING (bigram) GROUP BY t.doc_id), s AS (SELECT doc_id, round_even(100*(0.35*least(1.0,1.25*unseen+0.75*rare)+0.3*least(1.0,1.6*coalesce(ph,0))),0)::INT AS score FROM w LEFT JOIN b USING (doc_id)) SELECT doc_id, score, CASE WHEN score>=70 THEN 'high' WHEN score>=35 THEN 'medium' ELSE 'low' END AS level FROM s")
+_BAL = " OR ".join(f"length(s)-length(replace(s,{_q(p[0])},''))<>length(s)-length(replace(s,{_q(p[1])},''))" for p in ["()", "（）", "[]", "{}", "《》", "“”", "「」", "『』"])
+_AI = " OR ".join(f"contains(lower(s), {_q(t.lower())})" for t in lexicon.TRANSITIONS_EN)
+
+
+@query(
+    f"""WITH d0 AS (SELECT pdf, sentence_id, arg_max(sentence, received_at) AS s FROM citation_sentences GROUP BY pdf, sentence_id),
+a AS (SELECT *, {_HAN.format('s')} AS zh, len(regexp_extract_all(s, '[a-zA-Z]')) AS en, {_ASCII.replace('text', 's')} AS w FROM d0 WHERE s IS NOT NULL),
+d AS (SELECT pdf FROM a GROUP BY pdf HAVING sum(en) > 0 AND sum(zh) <= 0.3 * (sum(zh) + sum(en))),
+x AS (SELECT a.* FROM a JOIN d USING (pdf) WHERE NOT ({headings_sql.like('s')})),
+b AS (SELECT avg(len(w)) AS mean FROM a WHERE zh = 0 AND len(w) > 0),
+v AS ({_VOCAB}), n AS (SELECT count(*) AS docs FROM {_LIB} WHERE text IS NOT NULL), g AS (SELECT DISTINCT bigram FROM {_big(_LIB)}),
+t AS (SELECT pdf, unnest(list_filter(w, lambda z: length(z) >= 3 AND NOT list_contains({_STOP}, z))) AS token FROM a JOIN d USING (pdf)),
+tw AS (SELECT pdf, avg((coalesce(doc_freq,0)=0)::INT) AS unseen, avg((coalesce(doc_freq,0)>0 AND 100.0*coalesce(doc_freq,0)/docs<10)::INT) AS rare FROM t LEFT JOIN v USING (token), n GROUP BY pdf),
+p AS (SELECT pdf, sentence_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i+1])) AS bigram FROM x WHERE len(w) >= 4),
+ps AS (SELECT pdf, sentence_id, count(*) AS nb, count(*) FILTER (g.bigram IS NULL) AS nu FROM p LEFT JOIN g USING (bigram) GROUP BY pdf, sentence_id),
+pp AS (SELECT pdf, sum(nu) / sum(nb) AS ph, count(*) FILTER (nb >= 8 AND nu >= 3 AND nu >= 0.25 * nb) AS odd FROM ps GROUP BY pdf),
+q AS (SELECT pdf, count(*) AS sents, count(*) FILTER (len(w) > 0 AND len(w) < greatest(5, floor(mean * 0.45))) AS short, count(*) FILTER ({_BAL}) AS punct, count(*) FILTER (len(w) > floor(mean * 1.5) OR {_AI}) AS style FROM x, b GROUP BY pdf),
+r AS (SELECT q.pdf, coalesce(unseen, 0) AS u, coalesce(rare, 0) AS r, ph, least(1.0, (short + punct + coalesce(odd, 0)) / sents) AS se, style / sents AS st FROM q LEFT JOIN tw USING (pdf) LEFT JOIN pp USING (pdf)),
+z AS (SELECT pdf, round_even(100 * (CASE WHEN ph IS NOT NULL THEN 0.34 * least(1.0, 1.25 * u + 0.75 * r) + 0.28 * least(1.0, 1.6 * ph) + 0.13 * least(1.0, 1.2 * se) + 0.10 * least(1.0, st) ELSE 0.50 * least(1.0, 1.25 * u + 0.75 * r) + 0.20 * least(1.0, 1.2 * se) + 0.15 * least(1.0, st) END), 0)::INT AS score FROM r)
+SELECT pdf, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS level FROM z"""
+)
 def weirdness_score(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every paper in English, its sentences against the library (no vectors and no tags, so these parts are 0)."""
+    texts = latest(read(spark, d, "citation_sentences"), "sentence_id", "received_at", "pdf", "sentence").where("sentence IS NOT NULL")
+    sents = texts.select(F.col("pdf").alias("doc"), "sentence_id", F.col("sentence").alias("text"))
     lib = _library(spark, d)
-    docs = max(lib.where("text IS NOT NULL").count(), 1)
-    t = corpus.tokens(_target(spark, d)).join(corpus.vocabulary(lib), "token", "left").withColumn("df", F.coalesce("doc_freq", F.lit(0)))
-    w = t.groupBy("doc_id").agg(F.avg((F.col("df") == 0).cast("int")).alias("unseen"), F.avg(((F.col("df") > 0) & (100.0 * F.col("df") / docs < 10)).cast("int")).alias("rare"))
-    b = bigram_unseen_per_doc(spark, d).select("doc_id", (F.col("unseen") / F.col("bigrams")).alias("ph"))
-    j = w.join(b, "doc_id", "left")
-    score = style.weirdness(F.col("unseen"), F.col("rare"), F.coalesce("ph", F.lit(0.0)), F.lit(0.0), F.lit(0.0))
-    return j.select("doc_id", score.alias("score")).select("doc_id", "score", style.level(F.col("score")).alias("level"))
+    docs = lib.where("text IS NOT NULL").agg(F.count(F.lit(1)).alias("docs"))
+    return audit.weirdness_en(sents, corpus.vocabulary(lib), corpus.phrases(lib), docs).select(F.col("doc").alias("pdf"), "score", "level")
 
 
 # --- vectors ------------------------------------------------------------------------------
@@ -339,14 +371,14 @@ _TOP = f"SELECT q.vec_id AS query_id, r.vec_id AS vec_id, {_DOT} AS score, row_n
 @query(f"SELECT query_id, vec_id, round(score, 4) AS score, rank::INT AS rank FROM ({_TOP}) WHERE rank <= 5")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    return vector.top_k(e, e.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return retrieval.block_top_k(e, e.where("vec_id % 50 = 0"), 5, skip_self=True).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
-@query(f"SELECT query_id, greatest(0.0, round(max(score), 4)) AS best, greatest(0.0, max(score)) < 0.68 AS outlier, greatest(0.0, max(score)) < 0.35 AS low_alignment, (least(1.0, greatest(0.0, max(score))) * 100)::INT AS pct FROM (SELECT query_id, score FROM ({_TOP}) WHERE rank = 1) GROUP BY query_id".replace("* 100)::INT", "* 100 - 0.5)::INT"))
+@query(f"SELECT query_id, greatest(0.0, round(max(score), 4)) AS best, greatest(0.0, max(score)) < 0.68 AS outlier, greatest(0.0, max(score)) < 0.35 AS low_alignment, floor(least(1.0, greatest(0.0, max(score))) * 100)::INT AS pct FROM (SELECT query_id, score FROM ({_TOP}) WHERE rank = 1) GROUP BY query_id")
 def alignment(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     best = F.greatest(F.lit(0.0), F.col("score"))
-    return vector.top_k(e, e.where("vec_id % 50 = 0"), 1).select("query_id", F.round(best, 4).alias("best"), (best < 0.68).alias("outlier"), (best < 0.35).alias("low_alignment"), F.bround(F.least(F.lit(1.0), best) * 100 - 0.5).cast("int").alias("pct"))
+    return retrieval.block_top_k(e, e.where("vec_id % 50 = 0"), 1, skip_self=True).select("query_id", F.round(best, 4).alias("best"), (best < 0.68).alias("outlier"), (best < 0.35).alias("low_alignment"), F.floor(F.least(F.lit(1.0), best) * 100).cast("int").alias("pct"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / greatest(n, 1e-12)) ** 2)), 6) AS norm2, round(embedding[1]::DOUBLE / greatest(n, 1e-12), 6) AS first FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 2))) AS n FROM embeddings)")
@@ -379,9 +411,9 @@ def uncited_references(spark: SparkSession, d: str) -> DataFrame:
     return citations.uncited(read(spark, d, "citation_sentences"), read(spark, d, "reference_entries"))
 
 
-@query("SELECT c.kind AS kind, count(*) AS n, count(DISTINCT sentence_id) AS sentences, count(c.cite_year) AS with_year FROM (SELECT sentence_id, unnest(citations) AS c FROM (SELECT sentence_id, any_value(citations) AS citations FROM citation_sentences GROUP BY sentence_id)) GROUP BY 1")
+@query("SELECT c.kind AS kind, count(*) AS n, count(DISTINCT sentence_id) AS sentences, count(c.cite_year) AS with_year FROM (SELECT sentence_id, unnest(citations) AS c FROM (SELECT sentence_id, arg_max(citations, received_at) AS citations FROM citation_sentences GROUP BY sentence_id)) GROUP BY 1")
 def citation_bank_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "citation_sentences").groupBy("sentence_id").agg(F.first("citations", ignorenulls=True).alias("citations")).select("sentence_id", F.explode("citations").alias("c"))
+    c = latest(read(spark, d, "citation_sentences"), "sentence_id", "received_at", "citations").select("sentence_id", F.explode("citations").alias("c"))
     return c.groupBy(F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sentence_id").alias("sentences"), F.count("c.cite_year").alias("with_year"))
 
 
@@ -390,9 +422,9 @@ def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "cite_check_items").select("item_id", "verdict", "confidence").distinct().groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query("SELECT item_id, e.page AS page, round(e.score, 4) AS score FROM (SELECT item_id, unnest(evidence) AS e FROM (SELECT item_id, any_value(evidence) AS evidence FROM cite_check_items GROUP BY item_id)) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY e.score DESC, e.page, e.text) = 1")
+@query("SELECT item_id, e.page AS page, round(e.score, 4) AS score FROM (SELECT item_id, unnest(evidence) AS e FROM (SELECT item_id, arg_max(evidence, checked_at) AS evidence FROM cite_check_items GROUP BY item_id)) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY e.score DESC, e.page, e.text) = 1")
 def best_evidence(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "cite_check_items").groupBy("item_id").agg(F.first("evidence", ignorenulls=True).alias("evidence")).select("item_id", F.explode("evidence").alias("e"))
+    e = latest(read(spark, d, "cite_check_items"), "item_id", "checked_at", "evidence").select("item_id", F.explode("evidence").alias("e"))
     best = e.groupBy("item_id").agg(F.min(F.struct((-F.col("e.score")).alias("s"), F.col("e.page").alias("page"), F.col("e.text").alias("text"))).alias("m"))
     return best.select("item_id", F.col("m.page").alias("page"), F.round(-F.col("m.s"), 4).alias("score"))
 
@@ -400,7 +432,7 @@ def best_evidence(spark: SparkSession, d: str) -> DataFrame:
 # --- state --------------------------------------------------------------------------------
 
 
-@query("SELECT event_type AS category, user_id::VARCHAR AS key, count(*) AS count, arg_max(event_id, ts) AS page, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM (SELECT * FROM events ORDER BY ts, event_id) GROUP BY 1, 2".replace("arg_max(event_id, ts)", "arg_max(event_id, (ts, event_id))"))
+@query("SELECT event_type AS category, user_id::VARCHAR AS key, count(*) AS count, coalesce(arg_max(event_id, ts) FILTER (event_id <> 0), 0) AS page, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM (SELECT * FROM events ORDER BY ts, event_id) GROUP BY 1, 2".replace("arg_max(event_id, ts)", "arg_max(event_id, (ts, event_id))"))
 def coverage_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The events as review marks, in two batches into an empty store."""
     marks = read(spark, d, "events").select(F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("page"), F.col("ts").alias("seen_at"))
@@ -427,10 +459,10 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("text").isNull()).alias("null_texts"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT result_id, v.level AS level, length(v.rewrite)::BIGINT AS size FROM (SELECT result_id, unnest(variants) AS v, generate_subscripts(variants, 1) AS i FROM (SELECT result_id, any_value(variants) AS variants FROM polish_results GROUP BY result_id)) QUALIFY row_number() OVER (PARTITION BY result_id, v.level ORDER BY i) = 1")
+@query("SELECT result_id, v.level AS level, length(v.rewrite)::BIGINT AS size FROM (SELECT result_id, unnest(variants) AS v, generate_subscripts(variants, 1) AS i FROM (SELECT result_id, arg_max(variants, created_at) AS variants FROM polish_results GROUP BY result_id)) QUALIFY row_number() OVER (PARTITION BY result_id, v.level ORDER BY i) = 1")
 def variants_by_level(spark: SparkSession, d: str) -> DataFrame:
     """The first rewrite of each level."""
-    v = read(spark, d, "polish_results").groupBy("result_id").agg(F.first("variants", ignorenulls=True).alias("variants")).select("result_id", F.posexplode("variants").alias("i", "v"))
+    v = latest(read(spark, d, "polish_results"), "result_id", "created_at", "variants").select("result_id", F.posexplode("variants").alias("i", "v"))
     one = v.groupBy("result_id", F.col("v.level").alias("level")).agg(F.min_by(F.col("v.rewrite"), F.col("i")).alias("rewrite"))
     return one.select("result_id", "level", F.length("rewrite").cast("bigint").alias("size"))
 
@@ -438,16 +470,15 @@ def variants_by_level(spark: SparkSession, d: str) -> DataFrame:
 # --- documents ----------------------------------------------------------------------------
 
 _HEADS = "SELECT doc_id, line_no, trim(line) AS heading FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(trim(line), '^\\d+(\\.\\d+)* [\\p{L}]') AND length(trim(line)) <= 60"
-_BASE = "lower(trim(regexp_replace(heading, '^\\s*(?:\\d+(?:\\.\\d+)*[.)]?|[一二三四五六七八九十]+[、.．]|（[一二三四五六七八九十]+）)\\s*', '')))"
-_CANON = "CASE " + " ".join(f"WHEN regexp_matches(base, {_q(p)}) THEN {_q(n)}" for n, p in documents.HEADINGS) + " ELSE 'other' END"
+_CANON = headings_sql.canonical("heading")
 
 
-@query(f"SELECT doc_id, line_no::INT AS line_no, {_CANON} AS canonical FROM (SELECT *, {_BASE} AS base FROM ({_HEADS}))")
+@query(f"SELECT doc_id, line_no::INT AS line_no, {_CANON} AS canonical FROM ({_HEADS})")
 def heading_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _headings(spark, d).select("doc_id", "line_no", documents.canonical(F.col("heading")).alias("canonical"))
 
 
-@query(f"SELECT outline, count(*) AS n, min(doc_id) AS example FROM (SELECT doc_id, string_agg(canonical, ' > ' ORDER BY line_no) FILTER (r <= 18) AS outline FROM (SELECT doc_id, line_no, {_CANON} AS canonical, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM (SELECT *, {_BASE} AS base FROM ({_HEADS}))) GROUP BY doc_id) GROUP BY outline")
+@query(f"SELECT outline, count(*) AS n, min(doc_id) AS example FROM (SELECT doc_id, string_agg(canonical, ' > ' ORDER BY line_no) FILTER (r <= 18) AS outline FROM (SELECT doc_id, line_no, {_CANON} AS canonical, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM ({_HEADS})) GROUP BY doc_id) GROUP BY outline")
 def outline_counts(spark: SparkSession, d: str) -> DataFrame:
     return documents.outlines(heading_canonical(spark, d), "doc_id", "line_no", "canonical")
 
@@ -455,7 +486,7 @@ def outline_counts(spark: SparkSession, d: str) -> DataFrame:
 _LIKE_BASE = f"regexp_replace(heading, {_q(documents.HEADING_PREFIX)}, '')"
 _LIKE = f"(SELECT doc_id, line_no, heading FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS heading, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) WHERE length(heading) <= 60 AND (regexp_matches(heading, {_q(documents.NUMBERED)}) OR regexp_matches({_LIKE_BASE}, {_q(documents.SECTION_EN)}) OR regexp_matches({_LIKE_BASE}, {_q(documents.SECTION_ZH)}) AND length({_LIKE_BASE}) <= 12))"
 _LIKE_NUMBER = "regexp_extract(heading, '^(\\d+(?:\\.\\d+){0,6})(?:[^\\d\\p{L}_]|$)', 1)"
-_LIKE_ALL = f"(SELECT doc_id, line_no, heading, CASE WHEN n <> '' THEN least(6, length(n) - length(replace(n, '.', '')) + 1) WHEN regexp_matches(heading, '^[（(][一二三四五六七八九十]+[)）]') THEN 2 ELSE 1 END::INT AS level, {_CANON} AS canonical FROM (SELECT *, {_LIKE_NUMBER} AS n, lower(trim({_LIKE_BASE})) AS base FROM {_LIKE}))"
+_LIKE_ALL = f"(SELECT doc_id, line_no, heading, CASE WHEN n <> '' THEN least(6, length(n) - length(replace(n, '.', '')) + 1) WHEN regexp_matches(heading, '^[（(][一二三四五六七八九十]+[)）]') THEN 2 ELSE 1 END::INT AS level, {_CANON} AS canonical FROM (SELECT *, {_LIKE_NUMBER} AS n FROM {_LIKE}))"
 
 
 def _all_headings(spark: SparkSession, d: str) -> DataFrame:
@@ -484,17 +515,26 @@ def narrative_citations(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(spark, d).select("sentence_id", documents.narrative_citations(F.col("sentence")).alias("c")).where(F.size("c") > 0).select("sentence_id", F.array_join("c", ";").alias("cites"))
 
 
-@query("SELECT sentence_id, CASE " + " ".join(f"WHEN starts_with(lower(sentence), {_q(p)}) THEN substring(sentence, 1, {len(p)}) || CASE WHEN substring(sentence, {len(p) + 1}, 1) = ',' THEN ',' ELSE '' END" for p in lexicon.SCAFFOLDS_EN) + f" ELSE list_aggregate(string_split({_WS.format('sentence')}, ' ')[1:6], 'string_agg', ' ') END AS scaffold FROM {_DIST}")
+_SC = "regexp_replace(trim(sentence), '^\\[[^\\]]+\\][\\s\\p{Z}]*', '')"
+_SC_EN = "CASE " + " ".join(f"WHEN strpos(lower(t), {_q(p)}) > 0 THEN substring(t, strpos(lower(t), {_q(p)}), {len(p)}) || CASE WHEN substring(t, strpos(lower(t), {_q(p)}) + {len(p)}, 1) IN (',', '，') THEN substring(t, strpos(lower(t), {_q(p)}) + {len(p)}, 1) ELSE '' END" for p in lexicon.SCAFFOLDS_EN) + " ELSE array_to_string(list_filter(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '\\p{L}+'))[1:6], ' ') END"
+_SC_ZH = "CASE WHEN c <> '' THEN substring(c, 1, 16) ELSE substring(z, 1, 16) END"
+
+
+@query(f"SELECT sentence_id, CASE WHEN zh THEN {_SC_ZH} ELSE {_SC_EN} END AS scaffold FROM (SELECT *, regexp_replace(regexp_extract(z, '^([^。！？；;]*)', 1), '^[（(]?\\d+(\\.\\d+)?[)）]?', '') AS c FROM (SELECT sentence_id, {_SC} AS t, regexp_replace(sentence, '[\\s\\p{{Z}}]+', '', 'g') AS z, regexp_matches(sentence, '[\\x{{4e00}}-\\x{{9fff}}]') AND NOT regexp_matches(sentence, '[A-Za-z]') AS zh FROM {_DIST}))")
 def scaffold(spark: SparkSession, d: str) -> DataFrame:
-    return _sentences(spark, d).select("sentence_id", documents.scaffold(F.col("sentence")).alias("scaffold"))
+    return _sentences(spark, d).select("sentence_id", documents.scaffold(F.col("sentence"), T.sentence_language(F.col("sentence"))).alias("scaffold"))
 
 
 @query(
-    """WITH w AS (SELECT pdf, regexp_extract_all(lower(pdf), '[\\p{L}\\p{N}]+') AS ws FROM library_files), c AS (SELECT DISTINCT item_id AS cite, lower(regexp_extract(cited_author, '^([^,]+),', 1)) AS name, substring(cited_year, 1, 4) AS y FROM cite_check_items WHERE cited_author IS NOT NULL AND cited_year IS NOT NULL)
-SELECT cite, min(pdf) AS pdf FROM c JOIN w ON list_contains(ws, c.name) AND list_contains(ws, c.y) GROUP BY cite"""
+    f"""WITH c AS (SELECT item_id AS cite, trim(arg_max(cited_year, checked_at)) AS y, arg_max(cited_author, checked_at) AS a FROM cite_check_items GROUP BY item_id),
+n AS (SELECT cite, lower(y) AS y, {citations.SURNAMES_SQL.format('a')} AS names FROM c WHERE a IS NOT NULL AND y <> ''),
+f AS (SELECT pdf, lower(regexp_extract(pdf, '([^/\\\\]*)$', 1)) AS name FROM library_files),
+j AS (SELECT cite, pdf, round(len(list_filter(names, lambda x: x <> '' AND contains(name, x))) / greatest(len(names), 1), 6) AS score FROM n JOIN f ON contains(name, y) AND regexp_matches(y, '^[0-9]{{4}}'))
+SELECT cite, pdf FROM j WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY cite ORDER BY score DESC, pdf) = 1"""
 )
 def citation_files(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "cite_check_items").where("cited_author IS NOT NULL AND cited_year IS NOT NULL").select(F.col("item_id").alias("cite"), F.lower(F.regexp_extract("cited_author", "^([^,]+),", 1)).alias("name"), F.substring("cited_year", 1, 4).alias("y")).distinct()
+    c = latest(read(spark, d, "cite_check_items"), "item_id", "checked_at", "cited_author", "cited_year").where("cited_author IS NOT NULL AND trim(cited_year) <> ''")
+    c = c.select(F.col("item_id").alias("cite"), T.surnames(F.col("cited_author")).alias("names"), F.trim("cited_year").alias("y"))
     return documents.file_matches(c, read(spark, d, "library_files"))
 
 
@@ -557,3 +597,139 @@ def citation_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of the nodes before any references heading that cite somebody by name and year."""
     s = _nodes(spark, d).select("node_no", "pdf", "page", F.explode(prose.sentences(prose.before_references(F.col("text")))).alias("sentence"))
     return s.select("node_no", "pdf", "page", "sentence", documents.narrative_citations(F.col("sentence")).alias("citations")).where(F.size("citations") > 0)
+
+
+# --- headings, sentences, citations and pages by their whole rules ------------------------------
+
+_LINES = "(SELECT doc_id, trim(unnest(string_split_regex(text, '\\r?\\n'))) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, line_no::INT AS line_no FROM {_LINES} WHERE {headings_sql.like('line', 'mixed')}")
+def heading_like_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of all documents that are headings, list items, captions or formulas."""
+    lines = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\\r?\\n")).alias("line_no", "line"))
+    return lines.where(headings.heading_like(F.trim("line"), F.lit("mixed"))).select("doc_id", "line_no")
+
+
+@query(f"SELECT doc_id, sum(length(line))::BIGINT AS chars, count(*) AS headings FROM {_LINES} WHERE {headings_sql.like('line', 'en')} GROUP BY doc_id")
+def heading_share_en(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\\r?\\n")).alias("line")).withColumn("line", F.trim("line"))
+    return lines.where(headings.heading_like(F.col("line"), F.lit("en"))).groupBy("doc_id").agg(F.sum(F.length("line")).alias("chars"), F.count(F.lit(1)).alias("headings"))
+
+
+@query(f"SELECT sentence_id, CASE WHEN zh AND en THEN 'mixed' WHEN zh THEN 'zh' ELSE 'en' END AS lang FROM (SELECT sentence_id, regexp_matches(sentence, '[\\x{{4e00}}-\\x{{9fff}}]') AS zh, regexp_matches(sentence, '[A-Za-z]') AS en FROM {_DIST})")
+def sentence_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("sentence_id", T.sentence_language(F.col("sentence")).alias("lang"))
+
+
+@query(f"SELECT doc_id, CASE WHEN zh > 0.7 * (zh + en) THEN 'zh' WHEN zh > 0.3 * (zh + en) AND zh >= en THEN 'zh' ELSE 'en' END AS lang FROM (SELECT doc_id, {_HAN.format('text')} AS zh, len(regexp_extract_all(text, '[a-zA-Z]')) AS en FROM documents WHERE text IS NOT NULL)")
+def primary_languages(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.primary_language(F.col("text")).alias("lang"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]+|[a-zA-Z]+|[\\s\\p{Z}]+|[^\\s\\p{Z}]'))::BIGINT AS pieces, len(regexp_extract_all(text, '[A-Za-z]+|\\d+(?:\\.\\d+)?|[\\x{4e00}-\\x{9fff}]|[^\\s\\p{Z}]'))::BIGINT AS rough FROM documents WHERE text IS NOT NULL")
+def token_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(T.pieces(F.col("text"))).cast("bigint").alias("pieces"), F.size(T.rough_tokens(F.col("text"))).cast("bigint").alias("rough"))
+
+
+_STREAMS = f"(SELECT doc_id, lang, w FROM (SELECT doc_id, 'en' AS lang, {_ASCII} AS w, CASE WHEN zh > 0.7 * (zh + e) THEN 'zh' WHEN zh > 0.3 * (zh + e) THEN 'mixed' ELSE 'en' END AS l FROM (SELECT *, {_HAN.format('text')} AS zh, len(regexp_extract_all(text, '[a-zA-Z]')) AS e FROM {_LIB} WHERE text IS NOT NULL) UNION ALL SELECT doc_id, 'zh', regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]'), CASE WHEN zh > 0.7 * (zh + e) THEN 'zh' WHEN zh > 0.3 * (zh + e) THEN 'mixed' ELSE 'en' END FROM (SELECT *, {_HAN.format('text')} AS zh, len(regexp_extract_all(text, '[a-zA-Z]')) AS e FROM {_LIB} WHERE text IS NOT NULL)) WHERE l IN (lang, 'mixed') AND len(w) >= 2)"
+
+
+@query(f"SELECT lang, bigram, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM (SELECT doc_id, lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS bigram FROM {_STREAMS}) GROUP BY lang, bigram")
+def bigrams_by_language(spark: SparkSession, d: str) -> DataFrame:
+    """Adjacent tokens of the library by language; a mixed document counts in both, Chinese tokens are single characters."""
+    return corpus.phrases_by_language(_library(spark, d))
+
+
+@query(f"SELECT lang, count(DISTINCT doc_id) AS docs, sum(len(w) - 1)::BIGINT AS bigrams FROM {_STREAMS} GROUP BY lang")
+def docs_by_language(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.documents_by_language(_library(spark, d))
+
+
+@query(f"SELECT DISTINCT sentence_id, unnest(list_distinct(list_filter(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '(18|19|20)[0-9]{{2}}[a-zA-Z]?')))) AS year FROM {_DIST} WHERE NOT regexp_matches(sentence, '[0-9]{{4}}[a-zA-Z]\\s*[,;]')")
+def sentence_years(spark: SparkSession, d: str) -> DataFrame:
+    """Years of the sentences without runs of letters (their expansion is tested on fixtures)."""
+    s = _sentences(spark, d).where(~F.col("sentence").rlike("[0-9]{4}[a-zA-Z]\\s*[,;]"))
+    return s.select("sentence_id", F.explode(citing.years(F.col("sentence"))).alias("year")).distinct()
+
+
+@query("SELECT ref_id, regexp_extract(' ' || regexp_replace(trim(r), '^\\s*(\\[\\d+\\]|\\d+\\.)\\s+', '') || ' ', '[^\\p{L}\\p{N}_]((18|19|20)\\d{2}[a-zA-Z]?)[^\\p{L}\\p{N}_]', 1) AS year, regexp_matches(r, '^\\s*(\\[\\d+\\]|\\d+\\.)\\s+') AS numbered FROM (SELECT ref_id, arg_max(reference, received_at) AS r FROM reference_entries GROUP BY ref_id) WHERE r IS NOT NULL")
+def reference_years(spark: SparkSession, d: str) -> DataFrame:
+    r = latest(read(spark, d, "reference_entries"), "ref_id", "received_at", "reference").where("reference IS NOT NULL")
+    return r.select("ref_id", citing.reference_year(F.col("reference")).alias("year"), F.col("reference").rlike("^\\s*(?:\\[\\d+\\]|\\d+\\.)\\s+").alias("numbered"))
+
+
+@query()
+def citations_found(spark: SparkSession, d: str) -> DataFrame:
+    """All citations of all sentences: narrative, Chinese, in brackets (tested on fixtures)."""
+    return _sentences(spark, d).select("sentence_id", F.posexplode(citing.citations(F.col("sentence"))).alias("cite_no", "c")).select("sentence_id", "cite_no", "c.*")
+
+
+@query()
+def sentences_main(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of all documents with their positions (tested on fixtures)."""
+    docs = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    rows = segment.with_sentences(docs, "text", T.language(F.col("text")))
+    return rows.select("doc_id", F.posexplode("sentences").alias("sent_no", "s")).select("doc_id", "sent_no", "s.start", "s.end")
+
+
+def _document_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, page, text): documents as papers, their form feeds as page breaks."""
+    docs = read(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+
+
+@query()
+def material_sections(spark: SparkSession, d: str) -> DataFrame:
+    return pages.material(_document_pages(spark, d))["sections"]
+
+
+@query()
+def material_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return pages.material(_document_pages(spark, d))["paragraphs"].select("doc", "id", "page", "section", F.size("sentences").alias("sentences"), F.length("text").alias("chars"))
+
+
+@query()
+def material_references(spark: SparkSession, d: str) -> DataFrame:
+    return pages.material(_document_pages(spark, d))["references"]
+
+
+@query()
+def citation_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Citing sentences of all documents before their references."""
+    return pages.citation_sentences(_document_pages(spark, d))
+
+
+@query()
+def audit_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Style issues and repeated openings of every sentence of the papers."""
+    s = latest(read(spark, d, "citation_sentences"), "sentence_id", "received_at", "pdf", "sentence").where("sentence IS NOT NULL")
+    s = s.select(F.col("pdf").alias("doc"), "sentence_id", F.col("sentence").alias("text"), T.sentence_language(F.col("sentence")).alias("lang"))
+    return audit.style_issues(s).unionByName(audit.repetition(s))
+
+
+@query()
+def audit_diagnoses(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of each paper by the weight of their issues."""
+    return audit.diagnoses(audit_issues(spark, d)).select("doc", "sentence_id", "warnings", "top", "position", F.size("issues").alias("issues"))
+
+
+@query()
+def lexical_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent words of each paper and those the library hardly has."""
+    s = latest(read(spark, d, "citation_sentences"), "sentence_id", "received_at", "pdf", "sentence").where("sentence IS NOT NULL")
+    s = s.select(F.col("pdf").alias("doc"), "sentence_id", F.col("sentence").alias("text"), T.sentence_language(F.col("sentence")).alias("lang"))
+    lib = _library(spark, d)
+    return audit.lexical(s, corpus.vocabulary(lib), corpus.documents_by_language(lib).select("lang", "docs"))
+
+
+@query("SELECT item_id, s AS secret, 'S' || item_id || '_E1' AS evidence FROM (SELECT item_id, CASE WHEN length(a) <= 4 THEN repeat('*', length(a)) ELSE repeat('*', length(a) - 4) || right(a, 4) END AS s FROM (SELECT item_id, trim(arg_max(cited_author, checked_at)) AS a FROM cite_check_items GROUP BY item_id) WHERE a IS NOT NULL)")
+def masked_secrets(spark: SparkSession, d: str) -> DataFrame:
+    """Cited names as if they were secrets, and identifiers of evidence in their one form."""
+    a = latest(read(spark, d, "cite_check_items"), "item_id", "checked_at", "cited_author").where("cited_author IS NOT NULL")
+    return a.select("item_id", review.masked_secret(F.col("cited_author")).alias("secret"), review.evidence_id(F.concat(F.lit(" s"), F.col("item_id"), F.lit("-- e1."))).alias("evidence"))
+
+
+@query("SELECT item_id, CASE WHEN upper(trim(v)) LIKE 'ACC%' THEN 'ACCURATE' WHEN upper(trim(v)) LIKE 'INACC%' THEN 'INACCURATE' WHEN upper(trim(v)) LIKE 'MIS%' THEN 'MISATTRIBUTED' WHEN upper(trim(v)) LIKE 'NOT%' THEN 'NOT_FOUND' ELSE 'PARSE_ERROR' END AS verdict FROM (SELECT item_id, arg_max(verdict, checked_at) AS v FROM cite_check_items GROUP BY item_id)")
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return latest(read(spark, d, "cite_check_items"), "item_id", "checked_at", "verdict").select("item_id", F.coalesce(review.verdict(F.col("verdict")), F.lit("PARSE_ERROR")).alias("verdict"))
