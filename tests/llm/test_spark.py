@@ -71,6 +71,22 @@ def test_matching(spark):
     assert linking.match_works(items.limit(0), refs).count() == 0
 
 
+def test_no_step_of_the_matching_is_broadcast(spark, monkeypatch):
+    plans = {}
+    real = linking.materialize
+
+    def kept(df, label="step"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(linking, "materialize", kept)
+    items = spark.createDataFrame([(1, "Doe, J.", "2001", "How quiet rivers shape loud valleys", None), (2, "Doe, J.", "2001", None, "doe01a_valleys.pdf")], "item_id long, cited_author string, cited_year string, ref_title string, matched_pdf string")
+    refs = spark.createDataFrame([(7, "Doe, J. (2001). How quiet rivers shape loud valleys. Ann. Quiet, 4(2), 1-9.", "Doe, J.", "2001")], "ref_id long, reference string, authors string, pub_year string")
+    assert rows(linking.match_works(items, refs).select("item_id", "ref_id")) == [(1, 7), (2, 7)]
+    assert {"near-names", "last-words", "titles", "scored"} <= {k for k, p in plans.items() if "SortMergeJoin" in p}
+    assert not [k for k, p in plans.items() if "Broadcast" in p]
+
+
 def test_shortened_titles_meet_by_near_names_and_the_text(spark):
     short = "How quiet rivers shape"
     items = spark.createDataFrame([(1, "Foobaringtn, J.", "2001", short, None), (2, "Smithsonberg, C.", "1997", "The late trade of", None)], "item_id long, cited_author string, cited_year string, ref_title string, matched_pdf string")
