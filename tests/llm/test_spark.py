@@ -230,6 +230,27 @@ def test_chinese_names_by_their_readings(spark):
     assert len({e["高宇"], e["高屿"], e["Gao, Yu"], e["Gao, Mingyu"]}) == 4  # a romanised name that fits two is not guessed
 
 
+def test_readings_that_are_not_to_be_had_are_an_error(spark, monkeypatch):
+    def none(name):
+        raise AttributeError("no JVM")
+
+    monkeypatch.setattr(names, "_transliterated", none)
+    with pytest.raises(RuntimeError, match="Chinese characters"):
+        names.readings()
+    with pytest.raises(Exception, match="need the readings"):
+        _linked(spark, "王伟; Wang, Wei")
+    e = _linked(spark, "Lee, Christopher; Lee, C.")  # names in letters need none
+    assert e["Lee, Christopher"] == e["Lee, C."]
+
+
+def test_readings_in_a_thread_without_a_session(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    names._transliterated.cache_clear()
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(names.readings).result().given["伟"] == "wei"
+
+
 def test_the_family_name_is_the_part_that_the_collection_uses(spark):
     e = _linked(spark, "Lee, Christopher; Lee, C.; Lee, Dana", "Christopher Lee; Lee Dana")
     assert e["Christopher Lee"] == e["Lee, Christopher"] == e["Lee, C."] and e["Lee Dana"] == e["Lee, Dana"]
