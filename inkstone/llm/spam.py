@@ -15,9 +15,10 @@ without being a sentence), or nearly all of them
 words these are; ``short`` - a short line without an end mark; else ``sentence``.
 Contents, tables, reference lists and glossaries show ``short`` and ``sentence``.
 
-The model is fitted (``fit``) by the method of Baum and Welch on a bounded sample of pages,
-beginning from what the symbols of each state should be, which also counts as ``PRIOR``
-units of each state, so that the states keep their meaning.
+The model is fitted (``fit``) by the method of Baum and Welch on all pages, beginning from
+what the symbols of each state should be.  This also counts as ``PRIOR`` units of each state,
+and so many for every ``PAGES`` pages of a larger table, so that the states keep their
+meaning at any size.
 
 Defined results: null, empty and blank texts are not flagged; a text is looked at whole;
 repeated rows are each judged; extra columns are not looked at; an empty table gives none,
@@ -29,7 +30,7 @@ from __future__ import annotations
 import re
 import textwrap
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import log
 from typing import NamedTuple
 
@@ -38,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.session import materialize
+
 LINK_SHARE, LINKED_WORDS = 0.35, 6
 HOT_SHARE = 0.5
 #: A word is hot in a page if it occurs this often and is this share of the page's words.
@@ -56,9 +59,11 @@ SYMBOLS = ("sentence", "link", "hot", "short")
 START = (0.70, 0.10, 0.10, 0.10)
 STAY = 0.85
 EMIT = ((0.70, 0.04, 0.03, 0.23), (0.02, 0.82, 0.10, 0.06), (0.03, 0.05, 0.78, 0.14), (0.06, 0.06, 0.08, 0.80))
-#: Pages that the model is fitted on at most, rounds of the fit, and the weight of the beginning in units (for the
-#: symbols it is higher, so that pages that mix two kinds of units do not make a state of their own).
-SAMPLE, ROUNDS, PRIOR, PRIOR_SYMBOLS = 400, 5, 400.0, 20000.0
+#: Pages from which on the weight of the beginning grows with the pages, rounds of the fit, and that weight in units (for
+#: the symbols it is higher, so that pages that mix two kinds of units do not make a state of their own).
+PAGES, ROUNDS, PRIOR, PRIOR_SYMBOLS = 400, 5, 400.0, 20000.0
+#: Units that are counted at once (a memory bound; a longer page is counted by itself).
+CELLS = 200_000
 
 
 class Model(NamedTuple):
@@ -80,34 +85,61 @@ def _beginning() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(START), move, np.array(EMIT)
 
 
-def baum_welch(rows: list[list[int]], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
-    """The model fitted to rows of symbols; the beginning stands for ``prior`` units of each state."""
+def expected(rows: list[list[int]], times: list[int], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """How often rows of symbols begin with each state, pass from one to another and show a symbol in one, by the model; in one vector."""
+    n = len(STATES)
+    s, m, e = np.zeros(n), np.zeros((n, n)), np.zeros((n, len(SYMBOLS)))
+    order = sorted((i for i, row in enumerate(rows) if len(row)), key=lambda i: -len(rows[i]))
+    lo = 0
+    while lo < len(order):
+        part = order[lo : lo + max(1, CELLS // len(rows[order[lo]]))]
+        lo += len(part)
+        sizes = np.array([len(rows[i]) for i in part])
+        seen = np.zeros((len(part), sizes[0]), np.int64)
+        for k, i in enumerate(part):
+            seen[k, : sizes[k]] = rows[i]
+        weight = np.array([times[i] for i in part], float)[:, None]
+        there = [int(np.searchsorted(-sizes, -k)) for k in range(sizes[0])]  # rows with more than k units: the first ones
+        ahead, scale = [], []
+        for k, a in enumerate(there):
+            x = (start if k == 0 else ahead[-1][:a] @ move) * emit.T[seen[:a, k]]
+            scale.append(x.sum(axis=1, keepdims=True))
+            ahead.append(x / scale[-1])
+        back = np.ones((0, n))
+        for k in range(len(there) - 1, -1, -1):
+            a = there[k]
+            back = np.concatenate([back, np.ones((a - len(back), n))])
+            here = weight[:a] * ahead[k] * back
+            for o in range(len(SYMBOLS)):
+                e[:, o] += here[seen[:a, k] == o].sum(axis=0)
+            if k:
+                later = emit.T[seen[:a, k]] * back / scale[k]
+                m += move * ((weight[:a] * ahead[k - 1][:a]).T @ later)
+                back = later @ move.T
+            else:
+                s += here.sum(axis=0)
+    return np.concatenate([s, m.ravel(), e.ravel()])
+
+
+def _fitted(count: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], pages: int, rounds: int, prior: float) -> Model:
+    """The model after some rounds; ``count``: what is expected of all pages by a model."""
+    n = len(STATES)
     start0, move0, emit0 = _beginning()
     start, move, emit = start0, move0, emit0
-    counted = Counter(map(tuple, rows))  # many pages show the same row
-    for _ in range(rounds if counted else 0):
-        s, m, e = start0 * prior, move0 * prior, emit0 * PRIOR_SYMBOLS
-        for seen, times in counted.items():
-            ahead = np.empty((len(seen), len(STATES)))
-            scale = np.empty(len(seen))
-            for k, o in enumerate(seen):
-                x = (start if k == 0 else ahead[k - 1] @ move) * emit[:, o]
-                scale[k] = x.sum()
-                ahead[k] = x / scale[k]
-            back = np.ones(len(STATES))
-            for k in range(len(seen) - 1, -1, -1):
-                here = ahead[k] * back
-                e[:, seen[k]] += times * here
-                if k:
-                    later = emit[:, seen[k]] * back / scale[k]
-                    m = m + times * ahead[k - 1][:, None] * move * later[None, :]
-                    back = move @ later
-                else:
-                    s = s + times * here
+    weight = max(1.0, pages / PAGES)
+    for _ in range(rounds if pages else 0):
+        x = count(start, move, emit)
+        s, m, e = start0 * prior * weight + x[:n], move0 * prior * weight + x[n : n + n * n].reshape(n, n), emit0 * PRIOR_SYMBOLS * weight + x[n + n * n :].reshape(n, -1)
         start, move, emit = s / s.sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=1, keepdims=True)
     return _model(start, move, emit)
 
 
+def baum_welch(rows: list[list[int]], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """The model fitted to rows of symbols; the beginning stands for ``prior`` units of each state."""
+    counted = Counter(map(tuple, rows))  # many pages show the same row
+    return _fitted(lambda *model: expected(list(counted), list(counted.values()), *model), len(rows), rounds, prior)
+
+
 #: The model that the fit begins from.
 DEFAULT = _model(*_beginning())
 
@@ -203,11 +235,7 @@ def label(seen: list[int], model: Model = DEFAULT) -> list[int]:
     return path[::-1]
 
 
-def shares(text: str | None, model: Model = DEFAULT) -> list[float]:
-    """The share of the page's characters in each state."""
-    if not text or text.isspace():
-        return [0.0] * len(STATES)
-    seen, sizes = symbols(text)
+def _shares(seen: list[int], sizes: list[int], model: Model) -> list[float]:
     out = [0] * len(STATES)
     for s, size in zip(label(seen, model) if any(seen) else [0] * len(seen), sizes):
         out[s] += size
@@ -215,31 +243,53 @@ def shares(text: str | None, model: Model = DEFAULT) -> list[float]:
     return [x / total for x in out]
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """The model of at most ``sample`` pages (those whose keys have the smallest hashes)."""
-    some = documents.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
+def shares(text: str | None, model: Model = DEFAULT) -> list[float]:
+    """The share of the page's characters in each state."""
+    return _shares(*symbols(text or ""), model)
+
+
+def page_units(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, seen, sizes): the symbols and sizes of the units of each row."""
+    kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([symbols(t)[0] for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["seen"])
+            got = [symbols(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1))], ["key", "seen", "sizes"])
+
+    return documents.select(F.col(key).alias("key"), F.col(text).alias("_text")).mapInArrow(run, f"key {kind}, seen array<int>, sizes array<int>")
+
+
+def fit(units: DataFrame) -> Model:
+    """The model of all pages; ``units``: rows with their symbols in ``seen``."""
+    rows = materialize(units.where(F.size("seen") > 0).groupBy("seen").agg(F.count(F.lit(1)).alias("n")), "symbol-rows")  # many pages show the same row
+
+    def count(*model: np.ndarray) -> np.ndarray:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = sum((expected(b.column(0).to_pylist(), b.column(1).to_pylist(), *model) for b in batches), np.zeros(len(DEFAULT.start) * (1 + len(STATES) + len(SYMBOLS))))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int32()), pa.array(x)], ["at", "x"])
+
+        sums = rows.select("seen", "n").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+        return np.array([r.x for r in sorted(sums.collect())])  # one number for each probability of the model
 
-    rows = some.orderBy("h", "k", F.xxhash64("t")).limit(sample).select("t").mapInArrow(run, "seen array<int>")
-    return baum_welch([r[0] for r in rows.collect() if r[0]])  # bounded by the sample
+    return _fitted(count, rows.agg(F.sum("n")).first()[0] or 0, ROUNDS, PRIOR)
 
 
 def page_shares(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """Per row the shares of prose, links, tags and menu, and whether it is flagged; no shuffle.
+    """Per row the shares of prose, links, tags and menu, and whether it is flagged; rows are not shuffled.
 
-    Without a model one is fitted on a sample of the documents.
+    Without a model one is fitted on all the documents; each text is read once.
     """
     kind = documents.schema[key].dataType.simpleString()
-    fitted = fit(documents, key, text) if model is None else model
+    units = page_units(documents, key, text)
+    if model is None:
+        units = materialize(units, "page-units")
+    fitted = fit(units) if model is None else model
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*(shares(t, fitted) for t in batch.column(1).to_pylist()))) or [()] * len(STATES)
+            cols = list(zip(*(_shares(s, z, fitted) for s, z in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))) or [()] * len(STATES)
             flags = [a + b > FLAG_SHARE for a, b in zip(cols[1], cols[2])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols), pa.array(flags, pa.bool_())], ["key", "prose", "links", "tags", "menu", "flagged"])
 
-    some = documents.select(F.col(key).alias("key"), F.col(text).alias("_text"))
-    return some.mapInArrow(run, f"key {kind}, prose double, links double, tags double, menu double, flagged boolean").withColumnRenamed("key", key)
+    return units.mapInArrow(run, f"key {kind}, prose double, links double, tags double, menu double, flagged boolean").withColumnRenamed("key", key)

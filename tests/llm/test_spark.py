@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,19 @@ def test_chunks_pages_languages(spark):
     assert rows(languages.language_findings(languages.polished_languages(results, sents, labels))) == [(38, 0, "fr"), (39, 0, "en")]
 
 
+def test_the_model_of_pages_comes_from_all_of_them(spark):
+    one = [(i, "The river rose in May, and nobody had expected it.\n" * 8) for i in range(900)]
+    other = [(900 + i, "The river rose in May, and nobody had expected it.\nhttps://a.example/b\nbig, old\n" * (2 + i % 3)) for i in range(9)]
+    docs = spark.createDataFrame(one + other + [(None, None), (1, " ")], "doc_id long, text string")
+    got = spam.fit(spam.page_units(docs.repartition(5)))
+    want = spam.baum_welch([spam.symbols(t)[0] for _, t in one + other])
+    assert all(np.allclose(a, b) for a, b in zip(got, want))
+    # each of the rare pages counts, whatever the hashes of the keys
+    without = spam.fit(spam.page_units(docs.where("doc_id is null or doc_id <> 900")))
+    assert not np.allclose(np.array(without.emit), np.array(got.emit), rtol=1e-9, atol=0)
+    assert spam.fit(spam.page_units(docs.limit(0))) == spam.DEFAULT
+
+
 def _variants(seed, sizes, share):
     """Groups of texts of 60 words with a share of the words replaced, as (id, text)."""
     rng = random.Random(seed)
