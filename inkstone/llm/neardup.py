@@ -17,10 +17,13 @@ texts of one size overlap, in many dimensions every box does (see README for fig
 pairs of a block are candidates; a block of more than ``PAIRED`` different texts is searched
 whole with a tree over its points.
 
-Hot blocks: a key that more than ``PAIRED`` texts of one batch share is known to be full before
-the shuffle, so its rows are spread over all tasks at once and only one row of the batch goes
-to the task of the key, to tell it; no task reads more than ``PAIRED`` rows of a batch for one
-key.
+The keys of ``PACK`` texts are sorted together and go through the shuffle in packs, one for each
+range of keys (a bucket), as bytes; a task sorts one bucket at a time, and there are so many
+buckets that one has about ``FILL`` keys, whatever the input is.
+
+Hot blocks: a key that more than ``PAIRED`` texts of one pack share is known to be full before
+the shuffle, so its rows are spread over all buckets at once and only the key goes to its own
+bucket, to tell it; no task reads more than ``PAIRED`` rows of a pack for one key.
 
 Defined results: null, empty and blank texts are no cases; a text of fewer than five
 characters is similar only to an equal one; equal texts have similarity 1 and form a class,
@@ -53,7 +56,9 @@ PAIRED = 64
 #: Minima of a sketch, and how many of them may differ in their two bits: at a similarity of 0.7 the mean is 28.8, the deviation 4.7.
 SKETCH, SKETCH_FAR = 128, 52
 ALL_PAIRS = 200
-#: What stands in the place of a sketch, or behind it: a row of a block known to be full, and the row that tells its task.
+#: Texts whose keys are packed together, and keys of a bucket (about).
+PACK, FILL = 32_768, 50_000
+#: What stands in the place of sketches: a pack of rows of blocks known to be full, and the pack that tells their buckets.
 _FULL, _TELL = b"!", b"!!"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -138,21 +143,27 @@ def minima(texts: list[str], count: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(doc):
         return np.zeros(0, np.int64), np.zeros((count, 0), np.uint32)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    return doc[first], np.stack([np.minimum.reduceat(h * o, first) for o in _ORDERS[:count]])
+    least, some = np.empty((count, len(first)), np.uint32), np.empty((min(8, count), len(h)), np.uint32)
+    for lo in range(0, count, 8):  # a few orders at a time stay in the processor's cache
+        orders = _ORDERS[lo : min(lo + 8, count)]
+        np.multiply(h[None, :], orders[:, None], out=some[: len(orders)])
+        np.minimum.reduceat(some[: len(orders)], first, axis=1, out=least[lo : lo + len(orders)])
+    return doc[first], least
+
+
+#: One odd factor for each minimum of a key.
+_FACTORS = _mix(np.arange(HASHES + 1, HASHES + ROWS + 1, dtype=np.uint64) * _A) | np.uint64(1)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    """The ``BANDS`` block keys of each text as a row."""
+    """The ``BANDS`` block keys of each text as a column."""
     least = least.astype(np.uint64)
-    keys = np.empty((least.shape[1], BANDS), np.int64)
-    half = BANDS // 2
+    keys = np.empty((BANDS, least.shape[1]), np.uint64)
+    half, marks = BANDS // 2, np.arange(1, BANDS + 1, dtype=np.uint64) * _C
     for band in range(BANDS):
         # neighbouring minima in the first half, minima far apart in the second
         rows = least[band * ROWS : (band + 1) * ROWS] if band < half else least[band - half :: half]
-        key = np.full(len(keys), np.uint64(band + 1))
-        for r in rows:
-            key = _mix((key ^ r) * _A + _C)
-        keys[:, band] = key.view(np.int64)
+        keys[band] = _mix(_mix((rows * _FACTORS[:, None]).sum(axis=0)) * _A + marks[band])
     return keys
 
 
@@ -263,7 +274,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 SEEN = 200_000
 
 
-def _slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], most: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Parts of the texts of about so many characters: their vectors stay in the processor's cache."""
     lo = chars = 0
     for i, t in enumerate(texts):
         chars += len(t)
@@ -294,16 +306,61 @@ def _members(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "tbl string, id bigint, h bigint")
 
 
-def _block_rows(records: DataFrame) -> DataFrame:
-    """(key, h, sketch): a row for each band of each text; the first one has the sketch.
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each 64-bit number; larger numbers have no smaller one."""
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _packs(bucket: np.ndarray, keys: np.ndarray | None, hs: np.ndarray | None, shown: np.ndarray | bytes | None) -> pa.RecordBatch:
+    """(bucket, keys, hs, sketch): a row for each bucket of rows that are sorted by bucket."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(first, len(bucket))
+
+    def raw(values: np.ndarray | None) -> pa.Array:
+        if values is None:
+            return pa.nulls(len(first), pa.binary())
+        data = np.ascontiguousarray(values)
+        offsets = (ends * (data.nbytes // len(data))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    sketch = pa.array([shown] * len(first), pa.binary()) if isinstance(shown, bytes) else raw(shown)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), raw(keys), raw(hs), sketch], ["bucket", "keys", "hs", "sketch"])
+
+
+def _block_rows(records: DataFrame, buckets: int = 64) -> DataFrame:
+    """(bucket, keys, hs, sketch) in packs: the keys of each text with its hash; hashes with sketches; rows of full blocks.
 
     Copies of a text that one task meets give their keys once, so that a text that a third
-    of all records repeat fills no block.  Rows of keys that are full within a batch are marked.
+    of all records repeat fills no block.  Rows of keys that are full within a pack are marked.
     """
     import xxhash
 
+    coarse = max(1, buckets // 16)  # a text has one sketch, but many keys
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, hs, words = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        n = len(hs)
+        at = np.argsort(hs.view(np.uint64))
+        yield _packs(_bucket(hs[at].view(np.uint64), coarse) * np.int32(buckets // coarse), None, hs[at], words[at])
+        keys = keys.ravel()
+        at = np.argsort(keys)
+        keys, hs = keys[at], hs[at % n]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        count = np.diff(np.append(first, len(keys)))
+        if (count > PAIRED).any():
+            yield _packs(_bucket(keys[first[count > PAIRED]], buckets), keys[first[count > PAIRED]], None, _TELL)
+            away = np.repeat(count > PAIRED, count)
+            k, h = keys[away], hs[away]
+            anywhere = _bucket(_mix(h.view(np.uint64) * _C), buckets)
+            at = np.argsort(anywhere, kind="stable")
+            yield _packs(anywhere[at], k[at], h[at], _FULL)
+            keys, hs = keys[~away], hs[~away]
+        if len(keys):
+            yield _packs(_bucket(keys, buckets), keys, hs, None)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        parts, held = [], 0
         for batch in batches:
             fresh = []
             for n, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
@@ -313,64 +370,76 @@ def _block_rows(records: DataFrame) -> DataFrame:
                     fresh.append((n, t, h))
             if len(seen) > SEEN:
                 seen.clear()
-            salts = {n: np.int64(xxhash.xxh3_64_intdigest(n) - (1 << 63)) for n in {f[0] for f in fresh}}
-            parts = []
-            for lo, hi in _slices([t for _, t, _ in fresh]):
-                part = fresh[lo:hi]
-                doc, least = minima([t for _, t, _ in part], HASHES)
-                keys = band_keys(least)
-                keys ^= np.array([salts[n] for n, _, _ in part], np.int64)[doc][:, None]
-                parts.append((keys, np.array([h for _, _, h in part], np.int64)[doc], sketches(least)))
-            if not parts:
+            if not fresh:
+                continue
+            salts = {n: xxhash.xxh3_64_intdigest(n) for n in {f[0] for f in fresh}}
+            texts = [t for _, t, _ in fresh]
+            got = [(lo, *minima(texts[lo:hi], HASHES)) for lo, hi in _slices(texts)]
+            doc, least = np.concatenate([lo + d for lo, d, _ in got]), np.concatenate([x for _, _, x in got], axis=1)
+            if not len(doc):
                 continue
-            keys, hs, words = (np.concatenate(c) for c in zip(*parts))
-            known, times = np.unique(keys, return_counts=True)
-            known = known[times > PAIRED]
-            marked = np.isin(keys, known) if len(known) else None
-            for lo in range(0, len(hs), 1000):
-                k, h = keys[lo : lo + 1000], hs[lo : lo + 1000]
-                shown: list[bytes | None] = [None] * k.size
-                shown[::BANDS] = [row.tobytes() for row in words[lo : lo + 1000]]
-                if marked is not None:
-                    for i in np.flatnonzero(marked[lo : lo + 1000].ravel()).tolist():
-                        shown[i] = (shown[i] or b"") + _FULL
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(h, BANDS)), pa.array(shown, pa.binary())], ["key", "h", "sketch"])
-            if len(known):
-                flat = keys.ravel()
-                order = np.argsort(flat, kind="stable")
-                at = order[np.searchsorted(flat, known, sorter=order)]
-                yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(hs[at // BANDS]), pa.array([_TELL] * len(known), pa.binary())], ["key", "h", "sketch"])
-
-    return records.mapInArrow(run, "key bigint, h bigint, sketch binary")
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows of a key in one partition, but marked ones anywhere; sorted by key."""
-    away = F.octet_length("sketch") % 2 == 1  # a sketch has an even length, as has what tells a task
-    return rows.repartition(F.when(away, F.col("h")).otherwise(F.col("key"))).sortWithinPartitions("key")
+            keys = band_keys(least) ^ np.array([salts[n] for n, _, _ in fresh], np.uint64)[doc]
+            parts.append((keys, np.array([h for _, _, h in fresh], np.int64)[doc], sketches(least)))
+            held += len(doc)
+            if held >= PACK:
+                yield from packed(parts)
+                parts, held = [], 0
+        if parts:
+            yield from packed(parts)
+
+    return records.mapInArrow(run, "bucket int, keys binary, hs binary, sketch binary")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of blocks of 2 to PAIRED rows; of fuller blocks every row (key, h); sketches (h, s0 to s3).
+    """All pairs (a, b) of blocks of 2 to PAIRED texts; of fuller blocks every row (key, h); sketches (h, s0 to s3), each text once.
 
-    ``rows`` are sorted by key.  A block is never held: beyond PAIRED rows they are passed on,
-    and so are the rows of a block with a mark.
+    ``rows`` are packs sorted by bucket.  One bucket is held at a time.
     """
     names = ["key", "h", "a", "b", *_WORDS]
-    size = 8 * len(_WORDS)
 
-    def out(k: np.ndarray, h: np.ndarray, m: np.ndarray, known: list[int]) -> pa.RecordBatch:
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(k)))
-        told = np.logical_or.reduceat(m, first) if len(k) else np.zeros(0, bool)
-        full = np.repeat((count > PAIRED) | told, count) | np.isin(k, known)
-        some = ~full & np.repeat(count > 1, count)
-        kf, hf, k, h = k[full], h[full], k[some], h[some]
+    def numbers(column: pa.Array | pa.ChunkedArray, kind: type = np.int64) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+    def shown(**columns: np.ndarray) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c].view(np.int64)) if c in columns else pa.nulls(n, pa.int64()) for c in names], names)
+
+    def one(packs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(packs)
+        long = pc.fill_null(pc.binary_length(t.column("sketch")), 0).to_numpy()
+        if (long > len(_TELL)).any():
+            some = t.filter(pa.array(long > len(_TELL)))
+            h, at = np.unique(numbers(some.column("hs")), return_index=True)
+            words = numbers(some.column("sketch")).reshape(-1, len(_WORDS))[at]
+            yield shown(h=h, **{w: np.ascontiguousarray(words[:, i]) for i, w in enumerate(_WORDS)})
+        if (long == len(_FULL)).any():
+            some = t.filter(pa.array(long == len(_FULL)))
+            yield shown(key=numbers(some.column("keys")), h=numbers(some.column("hs")))
+        some = t.filter(pa.array(long == 0))
+        k, h = numbers(some.column("keys"), np.uint64), numbers(some.column("hs"))
+        if not len(k):
+            return
+        told = np.unique(numbers(t.filter(pa.array(long == len(_TELL))).column("keys"), np.uint64))
+        order = np.argsort(k)
+        k, h = k[order], h[order]
+        again = k[1:] == k[:-1]
+        met = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+        if len(told):
+            met |= np.isin(k, told)
+        k, h = k[met], h[met]
+        if not len(k):
+            return
         order = np.lexsort((h, k))
         k, h = k[order], h[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])  # copies of a text count once
         k, h = k[new], h[new]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(np.append(first, len(k)))
+        full = np.repeat(count > PAIRED, count) | np.isin(k, told)
+        if full.any():
+            yield shown(key=k[full], h=h[full])
+            k, h = k[~full], h[~full]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for o in range(1, PAIRED):
             i = np.flatnonzero(k[:-o] == k[o:]) if len(k) > o else ()
@@ -378,55 +447,50 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
                 break
             left.append(h[i])
             right.append(h[i + o])
-        a, b = np.concatenate(left), np.concatenate(right)
-        cols = [[pa.nulls(len(a), pa.int64()), pa.array(v)] for v in (kf, hf)]
-        cols += [[pa.array(v), pa.nulls(len(kf), pa.int64())] for v in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols] + [pa.nulls(len(a) + len(kf), pa.int64())] * len(_WORDS), names)
+        yield shown(a=np.concatenate(left), b=np.concatenate(right))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-        passing: int | None = None  # the key of a block that is known to be full
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            long = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
-            m = (long > 0) & (long != size)
-            if (has := np.flatnonzero(long >= size)).size:
-                raw = b"".join(x[:size] for x in batch.column(2).take(pa.array(has)).to_pylist())
-                words = np.frombuffer(raw, np.int64).reshape(-1, len(_WORDS))
-                none = pa.nulls(len(has), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(h[has]), none, none, *(pa.array(w) for w in words.T)], names)
-            k, h, m = (np.concatenate(c) for c in zip(keep, (k, h, m)))
-            if not len(k):
+            if not batch.num_rows:
                 continue
-            known = [] if passing is None else [passing]
-            last = int(np.searchsorted(k, k[-1]))
-            if len(k) - last > PAIRED or passing == k[-1] or m[last:].any():  # the last block is full: pass on what is there
-                last, passing = len(k) - 1, int(k[-1])
-                known.append(passing)
-            else:
-                passing = None
-            yield out(k[:last], h[:last], m[:last], known)
-            keep = [k[last:], h[last:], m[last:]]
-        yield out(*keep, [] if passing is None else [passing])
+            bucket = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+            for lo, hi in zip(first, [*first[1:], len(bucket)]):
+                if bucket[lo] != last and held:
+                    yield from one(held)
+                    held = []
+                last = bucket[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from one(held)
 
     return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def candidates(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of texts that meet in some block, (key, h) of full blocks, and (h, s0 to s3) of each text."""
-    found = materialize(_block_pairs(_spread(_block_rows(records))), "blocks")
-    pairs = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
+def candidates(records: DataFrame, texts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a < b) of texts that meet in some block, once for each, (key, h) of full blocks, and (h, s0 to s3) of each text.
+
+    ``texts``: about how many there are.
+    """
+    buckets = max(1, texts * BANDS // FILL)
+    # so many tasks that each has some buckets, whatever the input is
+    tasks = max(min(buckets, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))), buckets // 32)
+    rows = _block_rows(records, buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    found = materialize(_block_pairs(rows), "blocks")
+    pairs = found.where(F.col("a").isNotNull()).select("a", "b")
     full = found.where(F.col("key").isNotNull()).select("key", "h").distinct()
-    return pairs, full, found.where(F.col("s0").isNotNull()).select("h", *_WORDS).dropDuplicates(["h"])
+    return pairs, full, found.where(F.col("s0").isNotNull()).select("h", *_WORDS)
 
 
 def thinned(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches are near."""
+    """The distinct pairs (a, b) whose sketches are near."""
     a = sketch.select(F.col("h").alias("a"), *[F.col(w).alias(f"a{w}") for w in _WORDS])
     b = sketch.select(F.col("h").alias("b"), *[F.col(w).alias(f"b{w}") for w in _WORDS])
     differ = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")) for w in _WORDS]
     apart = F.bit_count(differ[0].bitwiseOR(differ[1])) + F.bit_count(differ[2].bitwiseOR(differ[3]))
-    return pairs.join(a, "a").join(b, "b").where(apart <= SKETCH_FAR).select("a", "b")
+    return pairs.distinct().join(a, "a").join(b, "b").where(apart <= SKETCH_FAR).select("a", "b")
 
 
 def _points(texts: DataFrame) -> DataFrame:
@@ -469,8 +533,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHO
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
+            for lo, hi in _slices(batch.column(2).to_pylist()):
+                part = batch.slice(lo, hi - lo)
                 sims = similarities(part.column(2).to_pylist(), part.column(3).to_pylist())
                 idx = pa.array(np.flatnonzero(sims >= threshold - 1e-12), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), pa.array(sims[idx.to_numpy()])], ["a", "b", "similarity"])
@@ -500,12 +564,13 @@ def similarities(ta: list[str], tb: list[str]) -> np.ndarray:
 def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(tbl, id_a, id_b)`` of ``records (tbl, id, text)``: all pairs of similar records of one table."""
     records = records.select("tbl", "id", "text")
-    members = materialize(_members(records), "members").distinct()
-    where = members.groupBy("h").agg(F.min("tbl").alias("tbl"), F.min("id").alias("id"))
-    pairs, rest, sketch = candidates(records)
+    members = materialize(_members(records).distinct(), "members")
+    classes = materialize(members.groupBy("tbl", "h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")), "classes")
+    pairs, rest, sketch = candidates(records, classes.count())
     sketch = materialize(sketch, "sketches")
     pairs, rest = materialize(thinned(pairs, sketch), "pairs"), materialize(rest, "rest")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(rest.select("h")).distinct()
+    where = classes.select("h", "tbl", F.col("first").alias("id"))
     shown = needed.join(where, "h").join(records, ["tbl", "id"]).select("h", "text")
     points = materialize(_points(shown).dropDuplicates(["h"]), "points")
     # similar texts are of one size class or of neighbouring ones
@@ -513,31 +578,31 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rest = rest.join(points.select("h", "n", "point"), "h").join(sketch, "h").select("key", F.explode(F.array(step, step + 1)).alias("class"), "h", "n", "point", *_WORDS)
     close = bounded(pairs, points, threshold).unionByName(_tree_pairs(rest, threshold)).distinct()
     similar = materialize(similar_pairs(close, points.select("h", "text"), threshold), "similar")
-    across = _across(similar.select("a", "b"), members)
-    return across.unionByName(_within(members)).select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
-def _across(similar: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of records of two similar classes: all of small ones, of large ones each with the first of the other."""
-    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
-    a = sizes.select(F.col("h").alias("a"), F.col("c").alias("ca"), F.col("first").alias("fa"))
-    b = sizes.select(F.col("h").alias("b"), F.col("c").alias("cb"), F.col("first").alias("fb"))
-    both = materialize(similar.join(a, "a").join(b, "b"), "classes")
-    left = members.select("tbl", F.col("h").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("h").alias("b"), F.col("id").alias("y"))
+    many = materialize(members.join(classes.where(F.col("c") > 1).select("h", "c", "first"), "h"), "many")
+    across = _across(similar.select("a", "b"), classes, many)
+    return across.unionByName(_within(many)).select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def _across(similar: DataFrame, classes: DataFrame, many: DataFrame) -> DataFrame:
+    """Pairs of records of two similar classes: all of small ones, of large ones each with the first of the other.
+
+    ``many``: the records of classes with more than one; the record of any other class is its first.
+    """
+    a = classes.select("tbl", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("first").alias("fa"))
+    b = classes.select(F.col("h").alias("b"), F.col("c").alias("cb"), F.col("first").alias("fb"))
+    both = materialize(similar.join(a, "a").join(b, "b"), "across")
+    left, right = many.select(F.col("h").alias("a"), F.col("id").alias("x")), many.select(F.col("h").alias("b"), F.col("id").alias("y"))
+    x, y = F.coalesce("x", "fa").alias("x"), F.coalesce("y", "fb").alias("y")
     large = F.col("ca") * F.col("cb") > ALL_PAIRS**2
-    every = both.where(~large).select("a", "b").join(left, "a").join(right, "b").select("tbl", "x", "y")
-    to_first = both.where(large).select("a", F.col("fb").alias("y")).join(left, "a").select("tbl", "x", "y")
-    tbl = members.select("tbl", F.col("h").alias("b"), F.col("id").alias("y"))
-    from_first = both.where(large).select("b", F.col("fa").alias("x")).join(tbl, "b").select("tbl", "x", "y")
+    every = both.where(~large).join(left, "a", "left").join(right, "b", "left").select("tbl", x, y)
+    to_first = both.where(large).join(left, "a", "left").select("tbl", x, F.col("fb").alias("y"))
+    from_first = both.where(large).join(right, "b", "left").select("tbl", F.col("fa").alias("x"), y)
     return every.unionByName(to_first.unionByName(from_first).distinct())  # both stars have the pair of the first ones
 
 
-def _within(members: DataFrame) -> DataFrame:
+def _within(many: DataFrame) -> DataFrame:
     """Pairs of records with equal texts: all of a small class, a star of a large one."""
-    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).where(F.col("c") > 1)
-    a = members.join(sizes, "h")
-    small = a.where(F.col("c") <= ALL_PAIRS)
+    small = many.where(F.col("c") <= ALL_PAIRS)
     every = small.select("tbl", "h", F.col("id").alias("x")).join(small.select("h", F.col("id").alias("y")), "h").where(F.col("x") < F.col("y")).select("tbl", "x", "y")
-    star = a.where((F.col("c") > ALL_PAIRS) & (F.col("id") != F.col("first"))).select("tbl", F.col("first").alias("x"), F.col("id").alias("y"))
+    star = many.where((F.col("c") > ALL_PAIRS) & (F.col("id") != F.col("first"))).select("tbl", F.col("first").alias("x"), F.col("id").alias("y"))
     return every.unionByName(star)

@@ -184,6 +184,21 @@ def test_full_blocks_are_spread_before_the_shuffle(spark, monkeypatch):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_keys_of_blocks_are_shuffled_in_packs(spark, monkeypatch):
+    data = _variants(7, [3] * 60, 0.05)
+    df = spark.createDataFrame([("t", i, t) for i, t in data], "tbl string, id long, text string")
+    rows_ = neardup._block_rows(df.coalesce(1)).collect()
+    assert len(rows_) <= 128  # one for each bucket, of keys and of sketches; not one for each of 56 keys of 180 texts
+    assert sum(len(r["keys"] or b"") for r in rows_) == 8 * neardup.BANDS * len(data)
+    monkeypatch.setattr(neardup, "PACK", 40)
+    monkeypatch.setattr(neardup, "FILL", 300)
+    want, got = _true_pairs(data), _found_pairs(spark, data)
+    assert len(want) > 100 and got <= want and len(got) >= 0.99 * len(want)
+    pairs, full, sketch = neardup.candidates(df.union(df).repartition(3), len(data))  # copies in other tasks
+    assert sketch.count() == len({t for _, t in data}) and full.count() == 0
+    assert pairs.where("a >= b").count() == 0 and pairs.count() >= len(want)
+
+
 def test_large_classes_are_joined_by_their_first_members(spark, monkeypatch):
     monkeypatch.setattr(neardup, "ALL_PAIRS", 2)
     base = "the quiet river rose in may and nobody had expected so much water near the old bridge of foobaria this year"
