@@ -330,6 +330,8 @@ def _packs(bucket: np.ndarray, keys: np.ndarray | None, hs: np.ndarray | None, s
 def _block_rows(records: DataFrame, buckets: int = 64) -> DataFrame:
     """(bucket, keys, hs, sketch) in packs: the keys of each text with its hash; hashes with sketches; rows of full blocks.
 
+    A key is its bucket and 32 bits more, which alone are in the packs of its bucket: of the keys
+    of a bucket, one in about 86,000 meets another by chance, so two blocks may become one, but none is cut.
     Copies of a text that one task meets give their keys once, so that a text that a third
     of all records repeat fills no block.  Rows of keys that are full within a pack are marked.
     """
@@ -337,18 +339,22 @@ def _block_rows(records: DataFrame, buckets: int = 64) -> DataFrame:
 
     coarse = max(1, buckets // 16)  # a text has one sketch, but many keys
 
+    def own(keys: np.ndarray, hs: np.ndarray | None, shown: bytes | None) -> pa.RecordBatch:
+        return _packs((keys >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32), hs, shown)
+
     def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, hs, words = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         n = len(hs)
         at = np.argsort(hs.view(np.uint64))
         yield _packs(_bucket(hs[at].view(np.uint64), coarse) * np.int32(buckets // coarse), None, hs[at], words[at])
         keys = keys.ravel()
+        keys = (_bucket(keys, buckets).astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
         at = np.argsort(keys)
         keys, hs = keys[at], hs[at % n]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         count = np.diff(np.append(first, len(keys)))
         if (count > PAIRED).any():
-            yield _packs(_bucket(keys[first[count > PAIRED]], buckets), keys[first[count > PAIRED]], None, _TELL)
+            yield own(keys[first[count > PAIRED]], None, _TELL)
             away = np.repeat(count > PAIRED, count)
             k, h = keys[away], hs[away]
             anywhere = _bucket(_mix(h.view(np.uint64) * _C), buckets)
@@ -356,7 +362,7 @@ def _block_rows(records: DataFrame, buckets: int = 64) -> DataFrame:
             yield _packs(anywhere[at], k[at], h[at], _FULL)
             keys, hs = keys[~away], hs[~away]
         if len(keys):
-            yield _packs(_bucket(keys, buckets), keys, hs, None)
+            yield own(keys, hs, None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -416,10 +422,10 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
             some = t.filter(pa.array(long == len(_FULL)))
             yield shown(key=numbers(some.column("keys")), h=numbers(some.column("hs")))
         some = t.filter(pa.array(long == 0))
-        k, h = numbers(some.column("keys"), np.uint64), numbers(some.column("hs"))
+        k, h = numbers(some.column("keys"), np.uint32), numbers(some.column("hs"))
         if not len(k):
             return
-        told = np.unique(numbers(t.filter(pa.array(long == len(_TELL))).column("keys"), np.uint64))
+        told = np.unique(numbers(t.filter(pa.array(long == len(_TELL))).column("keys"), np.uint32))
         order = np.argsort(k)
         k, h = k[order], h[order]
         again = k[1:] == k[:-1]
@@ -438,7 +444,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
         count = np.diff(np.append(first, len(k)))
         full = np.repeat(count > PAIRED, count) | np.isin(k, told)
         if full.any():
-            yield shown(key=k[full], h=h[full])
+            yield shown(key=k[full].astype(np.int64) | (packs[0].column(0)[0].as_py() << 32), h=h[full])
             k, h = k[~full], h[~full]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for o in range(1, PAIRED):

@@ -189,7 +189,8 @@ def test_keys_of_blocks_are_shuffled_in_packs(spark, monkeypatch):
     df = spark.createDataFrame([("t", i, t) for i, t in data], "tbl string, id long, text string")
     rows_ = neardup._block_rows(df.coalesce(1)).collect()
     assert len(rows_) <= 128  # one for each bucket, of keys and of sketches; not one for each of 56 keys of 180 texts
-    assert sum(len(r["keys"] or b"") for r in rows_) == 8 * neardup.BANDS * len(data)
+    assert sum(len(r["hs"]) for r in rows_ if r["keys"]) == 8 * neardup.BANDS * len(data)
+    assert sum(len(r["keys"] or b"") for r in rows_) == 4 * neardup.BANDS * len(data)  # the rest of a key is its bucket
     monkeypatch.setattr(neardup, "PACK", 40)
     monkeypatch.setattr(neardup, "FILL", 300)
     want, got = _true_pairs(data), _found_pairs(spark, data)
@@ -197,6 +198,9 @@ def test_keys_of_blocks_are_shuffled_in_packs(spark, monkeypatch):
     pairs, full, sketch = neardup.candidates(df.union(df).repartition(3), len(data))  # copies in other tasks
     assert sketch.count() == len({t for _, t in data}) and full.count() == 0
     assert pairs.where("a >= b").count() == 0 and pairs.count() >= len(want)
+    monkeypatch.setattr(neardup, "PAIRED", 2)  # the same keys of full blocks from all buckets and packs
+    got = _found_pairs(spark, data)
+    assert got <= want and len(got) >= 0.99 * len(want)
 
 
 def test_large_classes_are_joined_by_their_first_members(spark, monkeypatch):
